@@ -8,16 +8,21 @@ candidate edges, exact confirmation on the full shingle sets.
    least hash, and an empty bin copies the first filled bin in a fixed random order of
    its own (optimal densification). ``rows`` bins make a band.
 2. Rows with equal sets are one node from here on, so copies are never paired.
-3. Nodes that share a band are a bucket. Each bucket is a star: its least node is paired
-   with the others, n - 1 pairs for n nodes. Pairs are confirmed on the full sets.
-4. A star alone could lose a link between two of its leaves. So, while a bucket still
-   holds nodes of different components, further nodes become centres (1, 2, 4, ... a
-   round, those outside the bucket's largest component) and are paired with what is not
-   yet in their component. It ends when every pair of nodes in a bucket is in one
-   component or has been confirmed or refused: nothing that shares a bucket is lost.
+3. Nodes that share a band are a bucket. In the first ``LEAD`` bands each bucket is a
+   star: its least node is paired with the others, n - 1 pairs for n nodes. Pairs are
+   confirmed on the full sets, and links make components: a large group of near copies is
+   one component from here on.
+4. A star can lose a link between two of its leaves, so every bucket of every band that
+   still holds two components is searched in full, but in tasks of at most 2 * SIDE nodes
+   (a bucket of m nodes is cut into m / SIDE sides and each pair of sides is a task of
+   its own): nodes of different components are compared by their sketches, one byte a
+   bin, and only pairs whose estimate reaches ``CUTOFF`` leave the task. They are
+   confirmed on the full sets too. So no link within a bucket is lost to the stars, and
+   no group's pairs are written out.
 
 A pair at the threshold shares no bucket with chance (1 - t**rows)**bands: 1.7e-5 at
-t = 0.75 with 56 bands of 6, under 1e-6 from 0.79 on.
+t = 0.75 with 56 bands of 6, under 1e-6 from 0.79 on. The estimate of such a pair has a
+deviation of 0.024 and so lies 5 of them over the cutoff.
 
 Defined results. Null or blank text: no shingles, component of its own. Fewer words
 than five: the whole sequence is the one shingle. Null doc_id: no part in linking,
@@ -28,6 +33,7 @@ ignored. An empty table gives an empty result. Hashes have 64 bits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,6 +47,10 @@ from tideline.llm.graph import components
 from tideline.plans.scratch import drop, stored
 
 BANDS, ROWS, WORDS, PERCENT = 56, 6, 5, 75
+#: Bands whose stars are confirmed first; groups of near copies are one component after them.
+LEAD = 6
+#: Nodes of a side of a search task; the least estimate of the similarity that is confirmed on the full sets.
+SIDE, CUTOFF = 1024, 0.62
 
 
 def shingle_sets(block: K.Block, words: int = WORDS) -> list[np.ndarray]:
@@ -93,24 +103,27 @@ def _sketches(batches: Iterator[pa.RecordBatch], bands: int, rows: int, words: i
             sets = shingle_sets(block, words)
             n = np.array([len(x) for x in sets], np.int64)
             some = np.flatnonzero(n)
-            node, keys = np.zeros(len(n), K.U), np.zeros((len(n), bands), K.U)
+            node, keys, low = np.zeros(len(n), K.U), np.zeros((len(n), bands), K.U), np.zeros((len(n), bands * rows), np.uint8)
             if len(some):
                 own = [sets[i] for i in some]
                 at = np.concatenate([[0], np.cumsum(n[some])[:-1]])
                 node[some] = K.mix(np.add.reduceat(K.mix(np.concatenate(own), 1), at) + n[some].astype(K.U), 2)
-                sig = minima(own, bands * rows).reshape(len(some), bands, rows)
+                sig = minima(own, bands * rows)
+                low[some] = K.mix(sig, 3).astype(np.uint8)
+                sig = sig.reshape(len(some), bands, rows)
                 acc = np.zeros((len(some), bands), K.U)
                 for i in range(rows):
                     acc = K.mix(acc + sig[:, :, i], i)
                 keys[some] = K.mix(acc + np.arange(bands, dtype=K.U), 9)
             size = np.where(n > 0, bands, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(keys[some].reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(n), pa.array(node.view(np.int64)), lists], ["doc_id", "n_shingles", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(n), pa.array(node.view(np.int64)), lists, pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "n_shingles", "node", "bands", "bins"])
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, node, bands): the set's size, its hash and its band keys."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _sketches(it, bands, rows, words), "doc_id long, n_shingles long, node long, bands array<long>")
+    """(doc_id, n_shingles, node, bands, bins): the set's size and hash, its band keys, and
+    the low byte of each bin's value."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _sketches(it, bands, rows, words), "doc_id long, n_shingles long, node long, bands array<long>, bins binary")
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -133,57 +146,99 @@ def _each(col: pa.Array) -> Iterator[tuple[int, K.Block]]:
         yield part.start, block
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def _texts(docs: DataFrame, members: DataFrame, classes: DataFrame) -> str:
+    """A table of the text of each node of ``members``, bucketed by node: every later
+    round joins it where it lies. Gives the table's name."""
+    spark = docs.sparkSession
+    need = members.select("node").distinct().join(classes.select("node", "rep"), "node")
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
+    name = f"neardup_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.join(need, "rep").select("node", "text")
+    found.repartition(parts, "node").write.bucketBy(parts, "node").saveAsTable(name)
+    return name
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Links (u, v) among ``pairs`` (a, b) of nodes. A pair whose sizes alone rule it out
-    is dropped first; then each side gets the text of its class's least doc_id."""
-    a, b = (classes.select(F.col("node").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "rep_a", "rep_b")
-    sized = stored(sized, "pairs")
-    need = sized.select(F.col("a").alias("node"), F.col("rep_a").alias("rep")).union(sized.select("b", "rep_b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(need, "rep").select("node", "text")
-    left = sized.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    is dropped first; the rest gets both texts."""
+    a, b = (classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
+    left = sized.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     full = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     return full.mapInArrow(lambda it: _confirmed(it, words, percent), "u long, v long")
 
 
+def _searched(batches: Iterator[pa.RecordBatch], percent: int, cutoff: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, side, node, root, n, bins) in order of (key, i, j) to pairs (a, b)."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        run = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
+        cuts = np.flatnonzero((run[:, 1:] != run[:, :-1]).any(0)) + 1
+        end = int(cuts[-1]) if len(cuts) else 0
+        rest = t.slice(end)
+        yield from _runs(t.slice(0, end), np.concatenate([[0], cuts]), percent, cutoff)
+    if rest is not None:
+        yield from _runs(rest, np.array([0, rest.num_rows]), percent, cutoff)
+
+
+def _runs(t: pa.Table, cuts: np.ndarray, percent: int, cutoff: float) -> Iterator[pa.RecordBatch]:
+    if not t.num_rows:
+        return
+    side, node, root, n = (t.column(c).to_numpy() for c in ("side", "node", "root", "n"))
+    bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    i, j = t.column("i").to_numpy(), t.column("j").to_numpy()
+    least = (cutoff + (1 - cutoff) / 256) * bins.shape[1]
+    a, b = [], []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        for x in range(lo, hi - 1) if i[lo] == j[lo] else lo + np.flatnonzero(side[lo:hi] == i[lo]):
+            y = np.arange(x + 1, hi) if i[lo] == j[lo] else lo + np.flatnonzero(side[lo:hi] == j[lo])
+            y = y[(root[y] != root[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            y = y[np.count_nonzero(bins[y] == bins[x], axis=1) >= least]
+            a.append(np.minimum(node[y], node[x]))
+            b.append(np.maximum(node[y], node[x]))
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
+def search(members: DataFrame, roots: DataFrame, classes: DataFrame, percent: int = PERCENT, cutoff: float = CUTOFF) -> DataFrame:
+    """Distinct pairs (a, b) of nodes in one bucket, in two components, whose sketches are alike."""
+    now = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_ = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi")
+    dealt = now.join(open_.select("key", F.ceil(F.col("m") / SIDE).cast("int").alias("sides")), "key")
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node", "key"), "sides").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "root")
+    full = dealt.join(classes.select("node", "n", "bins"), "node").select("key", "i", "j", "side", "node", "root", "n", "bins")
+    full = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return full.mapInArrow(lambda it: _searched(it, percent, cutoff), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_shingles, component_id, kept. See the module."""
+    spark = docs.sparkSession
     sk = stored(sketches(docs, bands, rows, words), "sketches")
     live = sk.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(live.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("node", F.explode("bands").alias("key"))
+    classes = stored(live.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bins").alias("bins")), "classes")
+    banded = classes.select("node", F.posexplode("bands").alias("band", "key"))
     stars = banded.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
-    members = stored(banded.join(stars, "key"), "members")
-    tested = stored(members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "tested")
-    links = stored(confirm(tested, classes, docs, words, percent), "links")
+    members = stored(banded.join(stars, "key").select("key", "band", "node", "center"), "members")
+    table = _texts(docs, members, classes)
+    texts = spark.table(table)
+    first = members.where((F.col("node") != F.col("center")) & (F.col("band") < LEAD)).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    first = stored(first, "pairs")
+    links = stored(confirm(first, classes, texts, words, percent), "links")
     roots = stored(components(links), "roots")
-    members = members.where("size > 2").select("key", "node", "center")
-    centers = members.select("key", "center").distinct().withColumnRenamed("center", "node")
-    take = 1
-    while True:
-        now = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        split = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        now = stored(now.join(split, "key"), "open")
-        big = now.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("big"))
-        waiting = now.join(big, "key").where("root <> big").drop("big").join(centers, ["key", "node"], "left_anti")
-        nth = F.expr("row_number() over (partition by key order by node)")
-        chosen = stored(waiting.withColumn("nth", nth).where(F.col("nth") <= take).select("key", F.col("node").alias("c"), F.col("root").alias("c_root")), "chosen")
-        if chosen.isEmpty():
-            break
-        fresh = now.join(chosen, "key").where("root <> c_root").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-        fresh = stored(fresh.join(tested, ["a", "b"], "left_anti"), "fresh")
-        centers = centers.union(chosen.select("key", F.col("c").alias("node")))
-        if not fresh.isEmpty():
-            more = stored(confirm(fresh, classes, docs, words, percent), "links")
-            tested = tested.union(fresh)
-            if not more.isEmpty():
-                links = links.union(more)
-                roots = stored(components(links), "roots")
-        drop(now)
-        take *= 2
+    second = stored(search(members, roots, classes, percent).join(first, ["a", "b"], "left_anti"), "pairs")
+    links = stored(confirm(second, classes, texts, words, percent), "links")
+    roots = stored(components(links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))), "roots")
+    spark.sql(f"drop table {table}")
     named = classes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_node = stored(named.join(lowest, "root").select("node", "component_id"), "component")
+    drop(members, first, second, classes)
     out = sk.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(False)).alias("kept"))
