@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tideline.llm import neardup
+from tideline.llm import decontaminate, langid, neardup
 
-QUERIES = {"op1_minhash_near_dedup": neardup.query}
+QUERIES = {
+    "op1_minhash_near_dedup": neardup.query,
+    "op2_language_id": langid.query,
+    "op7_benchmark_decontamination": decontaminate.query,
+}
 ORACLE: dict[str, str] = {}
