@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tideline.llm import decontaminate, langid, neardup
+from tideline.llm import decontaminate, langid, licenses, neardup, quality, urls
 
 QUERIES = {
     "op1_minhash_near_dedup": neardup.query,
     "op2_language_id": langid.query,
+    "op6_url_filter": urls.query,
     "op7_benchmark_decontamination": decontaminate.query,
+    "op8_license_scan": licenses.query,
+    "op10_quality_rules": quality.query,
 }
 ORACLE: dict[str, str] = {}
