@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tideline.llm import decontaminate, langid, licenses, neardup, quality, urls
+from tideline.llm import decontaminate, langid, licenses, lm, neardup, pieces, quality, urls
 
 QUERIES = {
     "op1_minhash_near_dedup": neardup.query,
     "op2_language_id": langid.query,
+    "op5_lm_scoring": lm.query,
     "op6_url_filter": urls.query,
     "op7_benchmark_decontamination": decontaminate.query,
     "op8_license_scan": licenses.query,
+    "op9_sentencepiece": pieces.query,
     "op10_quality_rules": quality.query,
 }
 ORACLE: dict[str, str] = {}
