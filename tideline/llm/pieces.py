@@ -248,7 +248,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     path = model or default_model()
     names = ["ids", "n_ids", "round_trip"]
     keep = docs.drop(*names)
-    schema = keep.schema
+    schema = T.StructType(list(keep.schema.fields))
     for name, kind in zip(names, (T.ArrayType(T.IntegerType()), T.LongType(), T.BooleanType()), strict=True):
         schema = schema.add(name, kind)
 
@@ -280,7 +280,7 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
             text = [None if x is None else enc.decode(x) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, "text"])
 
-    return keep.mapInArrow(run, keep.schema.add("text", "string"))
+    return keep.mapInArrow(run, T.StructType([*keep.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

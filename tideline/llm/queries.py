@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tideline.llm import decontaminate, langid, licenses, lm, neardup, pieces, quality, urls
+from tideline.llm import decontaminate, langid, licenses, lm, neardup, pieces, pii, quality, tokenids, urls
 
 QUERIES = {
     "op1_minhash_near_dedup": neardup.query,
     "op2_language_id": langid.query,
+    "op3_pii_surrogates": pii.query,
+    "op4_token_ids": tokenids.query,
     "op5_lm_scoring": lm.query,
     "op6_url_filter": urls.query,
     "op7_benchmark_decontamination": decontaminate.query,
