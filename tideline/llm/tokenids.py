@@ -75,21 +75,22 @@ class Encoder:
     def clear(self) -> None:
         self.known: dict[int, int] = {}
         self.pool = [np.zeros(0, self.kind)]
-        self.start, self.size, self.held = [], [], 0
+        self.start, self.size, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
     def _learn(self, hashes: list[int], units: list[str]) -> None:
+        starts, sizes = [self.start], [self.size]
+        self.known.update(zip(hashes, range(len(self.start), len(self.start) + len(hashes)), strict=True))
         for i in range(0, len(units), 256):
             own = units[i : i + 256]
             got = self.t.encode(" ".join(own), add_special_tokens=False)
             begin = np.cumsum([0] + [len(u) + 1 for u in own])
             at = np.searchsorted(begin, [a for a, _ in got.offsets], side="right") - 1
             n = np.bincount(at, minlength=len(own))[: len(own)]
-            for h, a, k in zip(hashes[i : i + 256], self.held + np.cumsum(n) - n, n, strict=True):
-                self.known[h] = len(self.start)
-                self.start.append(int(a))
-                self.size.append(int(k))
+            starts.append(self.held + np.cumsum(n) - n)
+            sizes.append(n)
             self.pool.append(np.array(got.ids, self.kind))
             self.held += len(got.ids)
+        self.start, self.size, self.pool = np.concatenate(starts), np.concatenate(sizes), [np.concatenate(self.pool)]
 
     def block(self, b: K.Block) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a block on end, without end ids, and how many each has."""
@@ -108,9 +109,8 @@ class Encoder:
         new = [i for i, x in enumerate(keys) if x not in self.known]
         if new:
             self._learn([keys[i] for i in new], [raw[s[first[i]] : e[first[i]]].decode() for i in new])
-            self.pool = [np.concatenate(self.pool)]
         slot = np.array([self.known[x] for x in keys], np.int64)[back]
-        start, size = np.array(self.start)[slot] if len(slot) else slot, np.array(self.size)[slot] if len(slot) else slot
+        start, size = self.start[slot], self.size[slot]
         total = np.cumsum(size)
         at = np.repeat(start - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)
         return self.pool[0][at], np.bincount(rows, size, minlength=b.n).astype(np.int64)
