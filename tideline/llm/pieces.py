@@ -14,8 +14,9 @@ characters outside the vocabulary become byte pieces.
 
 Spaces are written as U+2581, with one put before the text, as the model has it. A piece
 has U+2581 only at its front or throughout, so no path leaves a boundary between another
-character and U+2581 out: all paths converge there, and chunks between such boundaries are
-encoded once a block.
+character and U+2581 out: all paths converge there. Chunks between such boundaries are
+encoded apart and remembered. The same holds between ASCII marks and Latin letters or digits if
+no piece has them side by side.
 
 Defined results. Null or empty text: no ids. Ties of unigram paths go to the longer last
 piece. Repeated rows: one row each. Further columns are kept by ``encode`` and ignored by
@@ -25,6 +26,7 @@ the query; an empty table gives an empty result. Whole texts are encoded, of any
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Chunks remembered by a worker; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def default_model() -> str:
@@ -79,6 +81,8 @@ class Encoder:
             for t in self.id_of:
                 if len(t) > 1 and len(two := self._merged(t, 2)) == 2 and self._merged(t) == [t]:
                     self.halves[t] = (two[0], two[1])
+        # Where no piece has an ASCII mark beside a Latin letter or digit, paths converge there too.
+        self.split = _CHUNK if any(_MIXED.search(t) for t in (self.halves if self.bpe else self.id_of)) else _FINE
         self.usable = {t for t in self.id_of if len(t) == 1 or not self.bpe or t in self.halves}
 
     # -- the lattice
@@ -130,7 +134,7 @@ class Encoder:
         size, longest, usable, pairs = len(chunk), self.longest, self.usable, self.pairs
         last: list[str | None] = [None] * (size + 1)
         for i in range(1, size + 1):
-            for j in range(max(0, i - longest), i):
+            for j in range(i - 1, max(0, i - longest) - 1, -1):
                 t = chunk[j:i]
                 if t not in usable and i - j > 1:
                     continue
@@ -204,14 +208,14 @@ class Encoder:
         for p in self._short(chunk) if self.bpe and len(chunk) <= 64 else self.path(chunk):
             i = self.id_of.get(p)
             out += [i] if i is not None else [self.byte_id[b] for b in p.encode()]
-        return np.array(out, np.int32).tobytes()
+        return array("i", out).tobytes()
 
     # -- texts
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        chunks = _CHUNK.findall(self.normal(text))
+        chunks = self.split.findall(self.normal(text))
         known = self.chunks
         if len(known) > REMEMBERED:
             known.clear()
@@ -233,7 +237,11 @@ class Encoder:
         return text[1:] if text.startswith(" ") else text
 
 
-_CHUNK = re.compile(SPACE + "*[^" + SPACE + "]+|" + SPACE + "+")
+_MARK, _LATIN = "!-/:-@\\[-`{-~", "0-9A-Za-z\u00c0-\u024f"
+_CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_REST = f"(?![^{SPACE}{_LATIN}{_MARK}])"
+_FINE = re.compile(f"{SPACE}*+(?:[{_LATIN}]++{_REST}|[{_MARK}]++{_REST}|[^{SPACE}]++)|{SPACE}++")
+_MIXED = re.compile(f"[{_MARK}][{_LATIN}]|[{_LATIN}][{_MARK}]")
 _loaded: dict[str, Encoder] = {}
 
 
