@@ -16,9 +16,9 @@ candidate edges, exact confirmation on the full shingle sets.
    still holds two components is searched in full, but in tasks of at most 2 * SIDE nodes
    (a bucket of m nodes is cut into m / SIDE sides and each pair of sides is a task of
    its own): nodes of different components are compared by their sketches, one byte a
-   bin, and only pairs whose estimate reaches ``CUTOFF`` leave the task. They are
-   confirmed on the full sets too. So no link within a bucket is lost to the stars, and
-   no group's pairs are written out.
+   bin. Nodes with a partner whose estimate reaches ``CUTOFF`` get their texts, and the
+   same task compares the full sets of just these pairs. Only links leave it, so no link
+   within a bucket is lost to the stars, and no group's pairs are written out.
 
 A pair at the threshold shares no bucket with chance (1 - t**rows)**bands: 1.7e-5 at
 t = 0.75 with 56 bands of 6, under 1e-6 from 0.79 on. The estimate of such a pair has a
@@ -50,7 +50,7 @@ BANDS, ROWS, WORDS, PERCENT = 56, 6, 5, 75
 #: Bands whose stars are confirmed first; groups of near copies are one component after them.
 LEAD = 6
 #: Nodes of a side of a search task; the least estimate of the similarity that is confirmed on the full sets.
-SIDE, CUTOFF = 1024, 0.62
+SIDE, CUTOFF = 512, 0.62
 
 
 def shingle_sets(block: K.Block, words: int = WORDS) -> list[np.ndarray]:
@@ -169,51 +169,89 @@ def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int =
     return full.mapInArrow(lambda it: _confirmed(it, words, percent), "u long, v long")
 
 
-def _searched(batches: Iterator[pa.RecordBatch], percent: int, cutoff: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, side, node, root, n, bins) in order of (key, i, j) to pairs (a, b)."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order of (key, i, j), cut where these change; at most 2 * SIDE rows or so each."""
     rest: pa.Table | None = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = pa.concat_tables([rest, t]) if rest is not None else t
         run = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
-        cuts = np.flatnonzero((run[:, 1:] != run[:, :-1]).any(0)) + 1
-        end = int(cuts[-1]) if len(cuts) else 0
-        rest = t.slice(end)
-        yield from _runs(t.slice(0, end), np.concatenate([[0], cuts]), percent, cutoff)
-    if rest is not None:
-        yield from _runs(rest, np.array([0, rest.num_rows]), percent, cutoff)
+        cuts = [0, *(np.flatnonzero((run[:, 1:] != run[:, :-1]).any(0)) + 1).tolist()]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield t.slice(lo, hi - lo)
+        rest = t.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
 
 
-def _runs(t: pa.Table, cuts: np.ndarray, percent: int, cutoff: float) -> Iterator[pa.RecordBatch]:
-    if not t.num_rows:
-        return
+def _alike(t: pa.Table, percent: int, cutoff: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a run, the rows of the other side and another component whose sketches are alike."""
     side, node, root, n = (t.column(c).to_numpy() for c in ("side", "node", "root", "n"))
     bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-    i, j = t.column("i").to_numpy(), t.column("j").to_numpy()
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
     least = (cutoff + (1 - cutoff) / 256) * bins.shape[1]
-    a, b = [], []
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        for x in range(lo, hi - 1) if i[lo] == j[lo] else lo + np.flatnonzero(side[lo:hi] == i[lo]):
-            y = np.arange(x + 1, hi) if i[lo] == j[lo] else lo + np.flatnonzero(side[lo:hi] == j[lo])
-            y = y[(root[y] != root[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+    far = np.flatnonzero(side == j)
+    for x in np.flatnonzero(side == i):
+        y = far[far > x] if i == j else far
+        y = y[(root[y] != root[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+        if len(y):
             y = y[np.count_nonzero(bins[y] == bins[x], axis=1) >= least]
-            a.append(np.minimum(node[y], node[x]))
-            b.append(np.maximum(node[y], node[x]))
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            if len(y):
+                yield int(x), y
 
 
-def search(members: DataFrame, roots: DataFrame, classes: DataFrame, percent: int = PERCENT, cutoff: float = CUTOFF) -> DataFrame:
-    """Distinct pairs (a, b) of nodes in one bucket, in two components, whose sketches are alike."""
+def _searched(batches: Iterator[pa.RecordBatch], percent: int, cutoff: float) -> Iterator[pa.RecordBatch]:
+    """The rows that have a partner in their run."""
+    for t in _runs(batches):
+        has = np.zeros(t.num_rows, bool)
+        for x, y in _alike(t, percent, cutoff):
+            has[x] = True
+            has[y] = True
+        if has.any():
+            yield from t.filter(pa.array(has)).combine_chunks().to_batches()
+
+
+def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int, cutoff: float) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of the rows' texts; none between nodes already joined within the run."""
+    for t in _runs(batches):
+        sets = [s for _, block in K.blocks(t.column("text")) for s in shingle_sets(block, words)]
+        node = t.column("node").to_numpy()
+        up = {int(r): int(r) for r in t.column("root").to_numpy()}
+        root = t.column("root").to_pylist()
+
+        def top(r: int, up: dict[int, int] = up) -> int:
+            while up[r] != r:
+                up[r] = r = up[up[r]]
+            return r
+
+        u, v = [], []
+        for x, ys in _alike(t, percent, cutoff):
+            for y in ys.tolist():
+                if top(root[x]) == top(root[y]):
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                    up[top(root[x])] = top(root[y])
+                    u.append(node[x])
+                    v.append(node[y])
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def search(members: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT, cutoff: float = CUTOFF) -> DataFrame:
+    """Links (u, v) within buckets between components, enough of them to join what belongs together."""
     now = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_ = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi")
     dealt = now.join(open_.select("key", F.ceil(F.col("m") / SIDE).cast("int").alias("sides")), "key")
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node", "key"), "sides").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "root")
-    full = dealt.join(classes.select("node", "n", "bins"), "node").select("key", "i", "j", "side", "node", "root", "n", "bins")
-    full = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return full.mapInArrow(lambda it: _searched(it, percent, cutoff), "a long, b long").distinct()
+    run = ["key", "i", "j"]
+    full = dealt.join(classes.select("node", "n", "bins"), "node").select(*run, "side", "node", "root", "n", "bins")
+    full = full.repartition(*run).sortWithinPartitions(*run)
+    near = stored(full.mapInArrow(lambda it: _searched(it, percent, cutoff), full.schema), "near")
+    near = near.join(texts, "node").select(*full.columns, "text").repartition(*run).sortWithinPartitions(*run)
+    return near.mapInArrow(lambda it: _linked(it, words, percent, cutoff), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -231,14 +269,13 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words
     first = stored(first, "pairs")
     links = stored(confirm(first, classes, texts, words, percent), "links")
     roots = stored(components(links), "roots")
-    second = stored(search(members, roots, classes, percent).join(first, ["a", "b"], "left_anti"), "pairs")
-    links = stored(confirm(second, classes, texts, words, percent), "links")
+    links = stored(search(members, roots, classes, texts, words, percent), "links")
     roots = stored(components(links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))), "roots")
     spark.sql(f"drop table {table}")
     named = classes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_node = stored(named.join(lowest, "root").select("node", "component_id"), "component")
-    drop(members, first, second, classes)
+    drop(members, first, classes)
     out = sk.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(False)).alias("kept"))
