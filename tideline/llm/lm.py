@@ -8,8 +8,8 @@ one entry of each task by then.
 Filter. A count c is held as the level 1 + floor(log c / log ``BASE``): the entries
 (n-gram, 1) to (n-gram, level) are put into the segment of its part, ``BITS`` bits an
 entry. A count is read by probing level after level until one is missing. Single pairs
-(below ``MIN_PAIR``) are left out. The filter is broadcast, and its size is bounded: while
-it is over ``MAX_FILTER`` bytes it is made again with twice the least pair count.
+(below ``MIN_PAIR``) are left out. The filter is broadcast (as a file that
+an executor's workers map together), and its size is bounded: while it is over ``MAX_FILTER`` bytes it is made again with twice the least pair count.
 
 Probabilities. p(w | v) = l * c(v w) / c(v) + (1 - l) * p(w), with p(w) the base formula on
 the filter's counts and l depending on the level of c(v); the weights maximise the
@@ -27,11 +27,15 @@ Further columns are ignored; an empty table gives an empty result. Hashes have 6
 
 from __future__ import annotations
 
+import copy
 import math
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,7 +117,7 @@ def _packed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
             held[0].append(w)
             held[1].append(p)
             size += len(w)
-            if size > 3_000_000:
+            if size > 1_500_000:
                 yield from out()
                 held, size = [[], []], 0
     if size:
@@ -159,21 +163,42 @@ def _places(h: np.ndarray, j: int, bits: np.ndarray | int) -> Iterator[np.ndarra
         yield ((a + K.U(i) * b) % bits).astype(np.int64)
 
 
+def _send(spark: SparkSession, a: np.ndarray) -> str:
+    folder = tempfile.mkdtemp(prefix="tideline-")
+    name = f"{uuid.uuid4().hex}.npy"
+    np.save(f"{folder}/{name}", a)
+    spark.sparkContext.addFile(f"{folder}/{name}")
+    return name
+
+
+def _mapped(name: str) -> np.ndarray:
+    return np.load(SparkFiles.get(name), mmap_mode="r")
+
+
 class Filter:
     """The whole filter: segments on end, where each begins, and the weights."""
 
     def __init__(self, segments: list[bytes], n: int, v: int):
         self.parts, self.n, self.v = len(segments), n, v
         self.data = np.frombuffer(b"".join(segments), np.uint8)
+        self.file: str | None = None
         size = np.array([len(x) for x in segments], np.int64)
         self.begin, self.bits = np.cumsum(size) - size, (size * 8).astype(K.U)
         self.weights = np.zeros(LEVELS + 1)
 
+    def sent(self, spark: SparkSession) -> Filter:
+        """The same filter, its bits sent to every executor once as a file that workers map."""
+        out = copy.copy(self)
+        out.file, out.data = _send(spark, self.data), None
+        return out
+
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram, by repeated membership probes."""
         out = np.zeros(len(h), np.int64)
         if not self.n:
             return out
+        if self.data is None:
+            self.data = _mapped(self.file)
         part = _part(h, self.parts).astype(np.int64)
         live, bits, begin = np.arange(len(h)), self.bits[part], self.begin[part]
         for j in range(1, LEVELS + 1):
@@ -244,11 +269,10 @@ def train(docs: DataFrame, max_filter: int = MAX_FILTER) -> Model:
     if f.n:
         rate = min(1.0, TUNE_TOKENS * 5 / chars)
         some = texts.where(F.pmod(F.xxhash64(F.lit("tune"), "text"), F.lit(1 << 20)) < rate * (1 << 20))
-        shared = docs.sparkSession.sparkContext.broadcast(f)
-        gains = some.mapInArrow(lambda it: _tuning(it, shared.value, least), "level int, weight int, gain double")
+        light = f.sent(docs.sparkSession)
+        gains = some.mapInArrow(lambda it: _tuning(it, light, least), "level int, weight int, gain double")
         for lv, w in gains.groupBy("level", "weight").agg(F.sum("gain").alias("gain")).groupBy("level").agg(F.max_by("weight", "gain")).collect():
             f.weights[lv] = WEIGHTS[w]
-        shared.unpersist()
     return Model(table, f, min_pair)
 
 
@@ -265,6 +289,7 @@ def _words(model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 def _scores(batches: Iterator[pa.RecordBatch], f: Filter, words: tuple | None) -> Iterator[pa.RecordBatch]:
     denom = math.log10(f.n + f.v + 1)
+    words = words and tuple(map(_mapped, words))
     for batch in batches:
         for part, block in K.blocks(batch.column(2)):
             w, p, n = tokens(block)
@@ -319,13 +344,13 @@ def _joined_base(rows: DataFrame, model: Model) -> DataFrame:
 
 def score(docs: DataFrame, model: Model, max_words: int = MAX_WORDS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
-    sc = docs.sparkSession.sparkContext
-    f = sc.broadcast(model.filter)
+    spark = docs.sparkSession
+    f = model.filter.sent(spark)
     small = model.filter.v <= max_words
-    words = sc.broadcast(_words(model)) if small else None
+    words = tuple(_send(spark, a) for a in _words(model)) if small else None
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("text_hash"), F.col("text").cast("string"))
     schema = "doc_id long, text_hash long, n_tokens long, n_known long, base_score double, score double"
-    out = rows.mapInArrow(lambda it: _scores(it, f.value, words.value if words is not None else None), schema)
+    out = rows.mapInArrow(lambda it: _scores(it, f, words), schema)
     if not small:
         out = out.drop("n_known", "base_score").join(_joined_base(rows, model), "text_hash", "left")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(model.filter.n).cast("long").alias("train_tokens"), "base_score", "score")
