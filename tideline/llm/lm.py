@@ -250,7 +250,7 @@ def train(docs: DataFrame, max_filter: int = MAX_FILTER) -> Model:
     texts = docs.select(F.col("text").cast("string"))
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(65_536, max(8, math.ceil(chars / 5 / PART_TOKENS)))
-    packed = stored(texts.mapInArrow(lambda it: _packed(it, parts), "part int, kind int, hashes binary, counts binary").repartition("part"), "packed")
+    packed = texts.mapInArrow(lambda it: _packed(it, parts), "part int, kind int, hashes binary, counts binary")
     min_pair = MIN_PAIR
     while True:
         least = min_pair
@@ -261,7 +261,6 @@ def train(docs: DataFrame, max_filter: int = MAX_FILTER) -> Model:
             break
         drop(table)
         min_pair *= 2
-    drop(packed)
     segments = [bytes(8)] * parts
     for p, seg in table.select("part", "segment").toLocalIterator():
         segments[p] = bytes(seg)
