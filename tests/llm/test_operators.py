@@ -1,0 +1,282 @@
+"""The operators against brute force, on small tables with nulls, blanks, repeats and odd columns."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tideline.llm import decontaminate, langid, licenses, lm, neardup, pieces, pii, quality, tokenids, urls
+from tideline.llm import kernel as K
+
+LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+UP = str.maketrans({chr(i + 32): chr(i) for i in range(65, 91)})
+RNG = random.Random(7)
+VOCAB = ["".join(RNG.choice("abcdeéßñ") for _ in range(RNG.randint(1, 7))) for _ in range(300)]
+
+
+def prose(n):
+    return " ".join(RNG.choice(VOCAB) for _ in range(n))
+
+
+def near(text):
+    w = text.split()
+    w[RNG.randrange(len(w))] = "changed"
+    return " ".join(w)
+
+
+LONG = prose(80)
+TEXTS = [LONG, LONG, near(LONG), near(LONG), prose(60), "", None, " \n\t", "one two", "ONE two", prose(20_000), "#$ | a\nb b\nb b\n", "The MIT License. Released under the MIT License.", *(prose(30) for _ in range(12))]
+DOCS = [(i, t, "src", "en", 0.5) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "src", "en", 0.5), (None, LONG, None, None, None)]
+SCHEMA = "doc_id long, text string, source string, node string, key double"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(DOCS, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+
+
+def alnum(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+
+
+def shingles(t):
+    w = words(t)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_duplicates(docs, empty):
+    rows = [(i, shingles(t)) for i, t, *_ in DOCS if i is not None]
+    comp = {i: i for i, _ in rows}
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        if a and b and 100 * len(a & b) >= 75 * len(a | b):
+            lo, hi = sorted((comp[i], comp[j]))
+            comp = {k: lo if v == hi else v for k, v in comp.items()}
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == len(DOCS)
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and not r.kept
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(dict(rows)[r.doc_id]), comp[r.doc_id], comp[r.doc_id] == r.doc_id)
+    assert neardup.near_duplicates(empty).count() == 0
+
+
+def test_near_duplicates_of_a_large_family(spark):
+    base, rows = prose(100).split(), []
+    for i in range(300):
+        w = list(base)
+        for _ in range(i % 5):
+            w[RNG.randrange(100)] = RNG.choice(VOCAB)
+        rows.append((i, " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            a, b = sorted((top(i), top(j)))
+            up[b] = a
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: top(i) for i in range(len(rows))}
+
+
+def test_kernel_hashes_are_of_words():
+    b = K.block_of(["Ab c", "", "c ab", None, "é"])
+    s, e, rows = b.spans(K.SPACED)
+    h = b.hashes(s, e)
+    assert rows.tolist() == [0, 0, 2, 2, 4] and h[0] == h[3] and h[1] == h[2] and len(set(h.tolist())) == 3
+
+
+def test_decontamination(spark, docs, empty):
+    item = " ".join(LONG.split()[5:20])
+    items = spark.createDataFrame([(1, item.translate(UP)), (2, "one, TWO"), (2, "one, TWO"), (3, None), (4, "..."), (None, "b b")], "item_id long, text string")
+    table = {1: item.translate(UP), 2: "one, TWO", None: "b b"}
+    got = decontaminate.contamination(docs, items).collect()
+    for limit in (1, decontaminate.MAX_ITEM_BYTES):
+        got = decontaminate.contamination(docs, items, limit=limit).collect()
+        for r, (_, t, *_rest) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id, r.n_words)), sorted(DOCS, key=lambda d: (d[0] is None, d[0])), strict=True):
+            w, hit, ids = alnum(t), set(), set()
+            for i, x in table.items():
+                for p in decontaminate.windows([y.encode() for y in alnum(x)]):
+                    for k in range(len(w) - len(p) + 1):
+                        if [y.encode() for y in w[k : k + len(p)]] == p:
+                            hit |= set(range(k, k + len(p)))
+                            ids |= {str(i)} if i is not None else set()
+            assert (r.n_words, r.n_hit, r["items"]) == (len(w), len(hit), sorted(ids))
+            for a, b in r.spans:
+                assert alnum((t or "").encode()[a:b].decode())
+    one = decontaminate.digest(decontaminate.contamination(docs, items)).where("doc_id = 0").first()
+    assert one.items_sha256 == hashlib.sha256(b"1").hexdigest() and one.contaminated
+    assert decontaminate.clean(docs, items).columns == docs.columns
+    assert decontaminate.contamination(empty, items).count() == 0
+    assert decontaminate.contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_language_id(spark, empty):
+    syll = {"aa": ["tho", "ing", "er", "wha"], "bb": ["que", "ción", "lla", "ñe"]}
+    say = lambda k, n: " ".join("".join(RNG.choices(syll[k], k=2)) for _ in range(n))
+    rows = [(i, say(k, 80), k) for i in range(200) for k in [("aa", "bb")[i % 2]]]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [(1, say("aa", 40)), (2, say("bb", 40)), (3, None), (4, "123 !"), (5, ""), (6, "xkzw qjv " * 60), (6, "xkzw qjv " * 60)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert [got[i].lang_pred for i in range(1, 6)] == ["aa", "bb", "und", "und", "und"]
+    assert [got[i].rejected for i in range(1, 7)] == [False, False, True, True, True, True]
+    none = langid.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert langid.identify(spark.createDataFrame(asked, "doc_id long, text string"), none).where("lang_pred <> 'und'").count() == 0
+    assert langid.identify(empty, model).count() == 0
+
+
+def test_kneser_ney_sums_to_one():
+    text = "abra cadabra " * 5
+    g, n = np.unique(langid._fourgrams(langid._codes(text)), return_counts=True)
+    tables, floor = langid.kneser_ney(g, n)
+    m = langid.Model(["x"], [tables], [floor])
+    ctx = int(langid._fourgrams(langid._codes("abra"))[2]) & 0xFFFFFFFFFFFF
+    seen = sorted(set(f" {text.strip()} "))
+    grams = np.array([(ctx << 16) | ord(c) for c in seen], np.uint64)
+    total = np.exp(-m.costs(grams)).sum()
+    assert 0.9 < total <= 1.0001
+
+
+def test_pii(spark, empty):
+    a, b = "mail jo.81@mail7.example.com, +1 (407) 555-7710.", "JO.81@MAIL7.EXAMPLE.COM and 152.143.123.131 4785380592391139 Mrs. Anna Keller"
+    rows = [(1, a, 1.0), (2, b, 2.0), (2, b, 2.0), (3, None, None), (4, "", 0.0), (5, "clean words", 1.0), (6, 'token = "' + "a1" * 20 + '"', 1.0)]
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string, m double")).collect()}
+    for left in ("jo.81@", "555-7710", "JO.81", "152.143", "4785380592391139", "Keller", "a1a1a1"):
+        assert all(left not in (r.text or "") for r in got.values())
+    mail = re.search(r"\S+@\S+com", got[1].text).group()
+    assert mail.upper() in got[2].text and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}\.$", got[1].text)
+    assert re.search(r"Mrs\. \w+ \w+$", got[2].text) and [got[i].n_entities for i in range(1, 7)] == [2, 4, 0, 0, 0, 1]
+    assert got[3].text is None and got[4].text == "" and got[5].text == "clean words"
+    assert pii.replace(empty).count() == 0
+
+
+def test_pii_collisions_are_drawn_again(spark):
+    known = spark.createDataFrame([("email", f"{c}@{d}.org") for c in "abcdefghijklmnop" for d in "xyz"], "kind string, normal string")
+    later = pii.draws(known)
+    full = known.join(later, ["kind", "normal"], "left").fillna({"draw": 0})
+    out = full.select("normal", pii.surrogate(F.col("kind"), F.col("normal"), F.col("draw")).alias("s")).collect()
+    assert len({r.s for r in out}) == 48 and not {r.s for r in out} & {r.normal for r in out} and later.count() > 0
+
+
+def test_token_ids(spark, docs, empty, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenids.default_tokenizer())
+    path = f"file://{tmp_path}/ids"
+    shards = tokenids.write(docs, path)
+    got = sorted(tokenids.read(spark, path, shards).collect(), key=lambda r: r.start)
+    start = 0
+    for r, (i, text, *_) in zip(got, sorted(DOCS, key=lambda d: (d[0] is not None, d[0], d[1] or "")), strict=True):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert tokenids.read(spark, path, tokenids.write(empty, f"file://{tmp_path}/none")).count() == 0
+
+
+def test_perfect_hash():
+    keys = K.mix(np.arange(5000))
+    h = tokenids.PerfectHash.build(keys)
+    assert sorted(h.slots(keys).tolist()) == list(range(5000))
+
+
+def test_lm(spark, docs, empty):
+    count = collections.Counter(w for i, t, *_ in DOCS for w in [*words(t), "\0"])
+    n, v = sum(count.values()), len(count)
+    model = lm.train(docs)
+    for limit in (0, lm.MAX_WORDS):
+        got = lm.score(docs, model, max_words=limit).collect()
+        assert len(got) == len(DOCS)
+        for r in got:
+            w = [*words(dict((d[0], d[1]) for d in DOCS)[r.doc_id]), "\0"]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), len(w), n)
+            assert r.base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w))
+            assert r.score < 0
+    assert lm.train(docs, max_filter=20_000).min_pair > lm.MIN_PAIR
+    assert lm.score(empty, model).count() == 0
+    assert lm.score(docs, lm.train(empty)).where("train_tokens <> 0 or n_known <> 0").count() == 0
+
+
+def test_urls(spark):
+    rows = [(1, "HTTP://WWW.Example.COM/en/1?x"), (2, "https://a.example.com/en/2#y"), (3, "http://net/fr/"), (4, None), (5, "no scheme"), (6, "http://x.org?q=/en/"), (6, "http://x.org?q=/en/"), (7, "http://b.net/" + "s/" * 50)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("www.example.com", "/en/1", "www.example.com/en/", "allow")
+    assert (got[2].rule, got[2].verdict, got[3].rule) == ("example.com/en/", "block", "net/fr/")
+    assert [(got[i].host, got[i].path, got[i].rule) for i in (4, 5, 6)] == [("", "", None), ("", "", None), ("x.org", "", None)]
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_url_templates_are_rejected_by_purity(spark):
+    rows = [(i, f"http://h.net/es/a{i}") for i in range(40)] + [(100 + i, f"http://h.net/xx/{i}") for i in range(40)]
+    rules = [(f"h.net/xx/{i}", "block") for i in range(1, 4)] + [("h.net/es/", "allow")]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules, reject=0.3).collect()}
+    assert got[0] == "allow" and got[139] == "block"
+
+
+def test_licenses(docs, empty):
+    got = {(r.doc_id, r.n_words): r for r in licenses.scan(docs).collect()}
+    r = got[12, 8]
+    assert (r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == (2, 1, 6, "mit", "mit", 1.0)
+    assert all(x.labels == "" and x.score == 0 and x.first_word is None for k, x in got.items() if k[0] != 12)
+    assert licenses.scan(empty).count() == 0
+
+
+def test_license_spans_survive_changed_words(spark):
+    w = licenses.TEMPLATES[0][1].split()
+    w[20:21] = []
+    w.insert(40, "extra")
+    text = prose(30) + " " + " ".join(w) + " " + prose(30)
+    assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == "mit"
+
+
+def test_quality(spark, docs, empty):
+    got = sorted(quality.judge(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    for r, (_, t, *_rest) in zip(got, sorted(DOCS, key=lambda d: (d[0] is None, d[0])), strict=True):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        c = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        hit = {k for i in range(len(w) - 4) if c[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+    assert quality.judge(empty).count() == 0
+    rows = [(i, f"{LONG}\nown {i} line", "h") for i in range(30)] + [(99, prose(40), "h")]
+    many = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id: r.kept for r in quality.judge(many).collect()}
+    assert kept.pop(99) and not any(kept.values())
+    assert {r.doc_id: r.text for r in quality.cleaned(many).collect()}[3] == "own 3 line"
+
+
+def test_pieces_are_the_librarys(spark, docs, empty):
+    import sentencepiece
+
+    enc, sp = pieces.encoder(pieces.default_model()), sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    chars = "ab e  \n\t▁éß漢字ﬁ́🙂therionaa111..!!__''”\r"
+    for _ in range(3000):
+        t = "".join(RNG.choice(chars) for _ in range(RNG.randint(0, 60)))
+        assert enc.encode(t).tolist() == sp.encode(t)
+    long = "".join(RNG.choice("therionab") for _ in range(3000))
+    assert enc.encode(long).tolist() == sp.encode(long)
+    rows = pieces.encode(docs)
+    assert rows.where("not round_trip or n_ids <> size(ids)").count() == 0
+    assert [r.text for r in pieces.decode(rows.where("doc_id = 0")).collect()] == [LONG]
+    assert pieces.encode(empty).count() == 0

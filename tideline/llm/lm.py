@@ -257,7 +257,7 @@ def train(docs: DataFrame, max_filter: int = MAX_FILTER) -> Model:
         made = packed.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(lambda it: _segments(it, least), "part int, n long, words binary, counts binary, segment binary")
         table = stored(made, "segments")
         size, n, v = table.agg(F.sum(F.octet_length("segment")), F.sum("n"), F.sum(F.octet_length("words") / 8)).first()
-        if (size or 0) <= max_filter:
+        if (size or 0) <= max_filter or min_pair > (n or 0):  # then no pair is left to leave out
             break
         drop(table)
         min_pair *= 2
