@@ -1,8 +1,8 @@
 """License scan (operator 8): diagonal voting of word k-grams against license texts.
 
 Words are letters, digits and non-ASCII, A-Z lowered. All rolling ``GRAM``-word hashes of
-all texts are joined to the positions of the templates' k-grams (the templates are a fixed
-local table, which Spark broadcasts by its own size check). Hits are summed by text,
+all texts are joined to the positions of the templates' k-grams (a local table, broadcast while
+it has at most ``MAX_BROADCAST`` rows). Hits are summed by text,
 template and offset diagonal; diagonals within ``NEAR`` words of each other (words added
 or left out) are one span; a span is verified by the template words that its hits cover:
 ``COVER`` of the template, or ``LONG`` words at that share of the span.
@@ -30,6 +30,8 @@ from tideline.llm import kernel as K
 from tideline.plans.scratch import stored
 
 GRAM, NEAR, COVER, LONG = 4, 3, 0.8, 30
+#: Rows of a template table up to which it is broadcast; larger ones are joined by shuffle.
+MAX_BROADCAST = 200_000
 
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -63,7 +65,8 @@ def template_grams(spark: SparkSession, templates: list[tuple[str, str]] = TEMPL
     for t, (_, text) in enumerate(templates):
         h = _hashes(text)
         rows += [(int(x), t, i) for i, x in enumerate(K.grams(h, h, gram).view(np.int64))]
-    return spark.createDataFrame(rows, "gram long, template int, tpos int")
+    out = spark.createDataFrame(rows, "gram long, template int, tpos int")
+    return F.broadcast(out) if len(rows) <= MAX_BROADCAST else out
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
@@ -113,6 +116,7 @@ def spans(scanned: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, gram
     runs = runs.groupBy("text_hash", "template", "run").agg(F.flatten(F.collect_list("tpos")).alias("tpos"), F.min("first").alias("first_word"), (F.max("last") + gram - 1).alias("last_word"))
     length = spark.createDataFrame([(t, label, len(_hashes(text))) for t, (label, text) in enumerate(templates)], "template int, label string, words int")
     covered = F.size(F.array_distinct(F.flatten(F.transform("tpos", lambda p: F.sequence(p, p + gram - 1)))))
+    length = F.broadcast(length) if len(templates) <= MAX_BROADCAST else length
     got = runs.join(length, "template").withColumn("covered", covered).withColumn("coverage", F.col("covered") / F.col("words"))
     dense = (F.col("covered") >= LONG) & (F.col("covered") >= COVER * (F.col("last_word") - F.col("first_word") + 1))
     return got.where((F.col("coverage") >= COVER) | dense).select("text_hash", "label", "coverage", "first_word", "last_word")
