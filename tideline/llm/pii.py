@@ -52,17 +52,20 @@ _NAME = r"\p{Lu}\p{Ll}{1,30}"
 _ALL_TITLES = "|".join(t for ts in TITLES.values() for t in ts)
 _ALL_GIVEN = "|".join(n for ns in GIVEN.values() for n in ns)
 _PERSON = rf"(?<![\p{{L}}])(?:(?:{_ALL_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_ALL_GIVEN}) {_NAME})(?![\p{{L}}])"
-PATTERN = "|".join([
-    r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}",
-    r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![\p{L}\p{N}])",
-    rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+_EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}"
+_SECRET = r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,128}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![\p{L}\p{N}])"
+_IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
+_NUMBERS = "|".join([
+    _IP,
     rf"(?<![\p{{L}}\p{{N}}+])\+[0-9]{{1,3}}{_SEP}\(?[0-9]{{2,4}}\)?{_SEP}[0-9]{{3,4}}{_SEP}[0-9]{{3,4}}(?![0-9])",
     r"(?<![\p{L}\p{N}+])(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[.\-][0-9]{4}(?![0-9])",
     r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     r"(?<![\p{L}\p{N}])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
-    _PERSON,
 ])
-_MAYBE = rf"[0-9@]|{_PERSON}"
+_CAPITAL = rf"(?=\p{{Lu}}){_PERSON}"
+# After an ASCII letter only an address can begin; elsewhere the first character rules most kinds out.
+PATTERN = rf"(?<=[A-Za-z])(?=[0-9]){_IP}|(?<![A-Za-z])(?:{_EMAIL}|{_SECRET}|(?=[0-9+(])(?:{_NUMBERS})|{_CAPITAL})"
+_MAYBE = rf"[0-9@]|{_CAPITAL}"
 _CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя"]
 
 
@@ -93,7 +96,7 @@ def _byte(digest: Column, k: Column) -> Column:
     return F.conv(F.substr(digest, 2 * (k % 64) + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _replaced(m: Column, digest: Column, skip: int = 0) -> Column:
+def _replaced(m: Column, digest: Column, skip: Column | int = 0) -> Column:
     """Letters and digits exchanged within their class, the first ``skip`` of them kept."""
     def one(i: Column) -> Column:
         c = F.substr(m, i, F.lit(1))
@@ -119,20 +122,34 @@ def _pick(values: list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), n % len(values) + 1)
 
 
+def _bound(values: dict[str, Column], body) -> Column:
+    """``body`` of a struct of ``values``, each of them computed once."""
+    return F.element_at(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), body), 1)
+
+
 def surrogate(kind: Column, m: Column, draw: Column, key: str = KEY) -> Column:
     """What stands for entity ``m``; m may be an entity as found or in its normal form."""
-    normal = normal_of(kind, m)
-    d = _digest(kind, normal, draw, key)
-    late = F.when(draw >= 3, draw.cast("string")).otherwise("")
-    local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    head, top = F.regexp_replace(domain, r"\.[^.]*$", ""), F.regexp_extract(domain, r"\.[^.]*$", 0)
-    d2 = _digest(F.lit("domain"), F.lower(head), F.lit(0), key)
-    email = F.concat(_replaced(local, d), late, F.lit("@"), _replaced(head, d2), top)
-    ip = F.concat_ws(".", *(_byte(d, F.lit(i)).cast("string") for i in range(4)))
-    secret = F.when(m.rlike("^[0-9a-fA-F]+$"), _hex(m, d)).otherwise(_replaced(m, d, 4))
-    digits = F.when(m.startswith("+"), _replaced(m, d, 1)).otherwise(_replaced(m, d))
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "card", _replaced(m, d, 1))
-    return out.when(kind == "person", _person(m, d, late)).when(kind == "phone", digits).otherwise(_replaced(m, d))
+    names = _bound({"kind": kind, "m": m, "draw": draw}, lambda e: F.struct(e.kind.alias("kind"), e.m.alias("m"), e.draw.alias("draw"), normal_of(e.kind, e.m).alias("normal")))
+    return F.element_at(F.transform(F.array(names), lambda e: _drawn(e, key)), 1)
+
+
+def _drawn(e: Column, key: str) -> Column:
+    domain = F.substring_index(e.m, "@", -1)
+    head = F.regexp_replace(domain, r"\.[^.]*$", "")
+    late = F.when(e.draw >= 3, e.draw.cast("string")).otherwise("")
+    bound = {
+        "kind": e.kind, "m": e.m, "late": late, "head": head, "top": F.regexp_extract(domain, r"\.[^.]*$", 0),
+        "d": _digest(e.kind, e.normal, e.draw, key), "d2": F.when(e.kind == "email", _digest(F.lit("domain"), F.lower(head), F.lit(0), key)),
+    }
+    return _bound(bound, _made)
+
+
+def _made(e: Column) -> Column:
+    email = F.concat(_replaced(F.substring_index(e.m, "@", 1), e.d), e.late, F.lit("@"), _replaced(e["head"], e.d2), e.top)
+    ip = F.concat_ws(".", *(_byte(e.d, F.lit(i)).cast("string") for i in range(4)))
+    secret = F.when(e.m.rlike("^[0-9a-fA-F]+$"), _hex(e.m, e.d)).otherwise(_replaced(e.m, e.d, F.lit(4)))
+    out = F.when(e.kind == "email", email).when(e.kind == "ip", ip).when(e.kind == "secret", secret).when(e.kind == "person", _person(e.m, e.d, e.late))
+    return out.otherwise(_replaced(e.m, e.d, F.when((e.kind == "card") | e.m.startswith("+"), 1).otherwise(0)))
 
 
 def _person(m: Column, d: Column, late: Column) -> Column:
@@ -162,16 +179,20 @@ def entities(docs: DataFrame) -> DataFrame:
 
 def draws(known: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, normal, draw) of the entities whose first draw collides."""
-    cur = stored(known.withColumn("draw", F.lit(0)), "entities")
+    def made(rows: DataFrame) -> DataFrame:
+        return stored(rows.withColumn("s", surrogate(F.col("kind"), F.col("normal"), F.col("draw"), key)), "entities")
+
+    cur = made(known.withColumn("draw", F.lit(0)))
     while True:
-        made = cur.withColumn("s", surrogate(F.col("kind"), F.col("normal"), F.col("draw"), key))
-        shared = made.groupBy("kind", "s").agg(F.min("normal").alias("owner"), F.count("*").alias("n")).where("n > 1")
-        twice = made.join(shared, ["kind", "s"]).where("normal <> owner").select("kind", "normal")
-        real = made.join(cur.select("kind", F.col("normal").alias("s")), ["kind", "s"], "left_semi").select("kind", "normal")
-        clash = stored(twice.union(real).distinct(), "clashes")
+        own = cur.select("kind", "s", F.col("normal").alias("owner"), F.lit(False).alias("real"))
+        marks = own.union(cur.select("kind", F.col("normal").alias("s"), F.lit(None).cast("string"), F.lit(True)))
+        groups = marks.groupBy("kind", "s").agg(F.min("owner").alias("owner"), F.count("owner").alias("n"), F.max("real").alias("real"))
+        bad = groups.where("n > 1 or (n > 0 and real)").drop("n")
+        clash = stored(cur.join(bad, ["kind", "s"]).where("real or normal <> owner").select("kind", "normal"), "clashes")
         if clash.isEmpty():
-            return cur.where("draw > 0")
-        cur, was = stored(cur.join(clash.withColumn("again", F.lit(1)), ["kind", "normal"], "left").select("kind", "normal", (F.col("draw") + F.coalesce("again", F.lit(0))).alias("draw")), "entities"), cur
+            return cur.where("draw > 0").drop("s")
+        again = cur.drop("s").join(clash.withColumn("again", F.lit(1)), ["kind", "normal"], "left")
+        cur, was = made(again.select("kind", "normal", (F.col("draw") + F.coalesce("again", F.lit(0))).alias("draw"))), cur
         drop(was, clash)
 
 
