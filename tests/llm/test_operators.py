@@ -212,7 +212,9 @@ def test_lm(spark, docs, empty):
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), len(w), n)
             assert r.base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w))
             assert r.score < 0
-    assert lm.train(docs, max_filter=20_000).min_pair > lm.MIN_PAIR
+    size = model.table.agg(F.sum(F.octet_length("segment"))).first()[0]
+    bounded = lm.train(docs, max_filter=size - 1)
+    assert bounded.min_pair > lm.MIN_PAIR and bounded.table.agg(F.sum(F.octet_length("segment"))).first()[0] < size
     assert lm.score(empty, model).count() == 0
     assert lm.score(docs, lm.train(empty)).where("train_tokens <> 0 or n_known <> 0").count() == 0
 
