@@ -16,4 +16,4 @@ QUERIES = {
     "op9_sentencepiece": pieces.query,
     "op10_quality_rules": quality.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_benchmark_decontamination": decontaminate.SQL}
