@@ -219,6 +219,25 @@ def test_lm(spark, docs, empty):
     assert lm.score(docs, lm.train(empty)).where("train_tokens <> 0 or n_known <> 0").count() == 0
 
 
+def test_lm_holds_all_pairs_of_a_filter_too_large_to_send(docs):
+    sent, spread = lm.train(docs), lm.train(docs, max_sent=0)
+    assert spread.filter.spread and not sent.filter.spread and spread.min_pair == sent.min_pair == 1
+    assert spread.filter.weights.tolist() == sent.filter.weights.tolist()
+    levels = [collections.Counter((r.doc_id, bytes(r.words), bytes(r.pairs)) for r in lm.levelled(docs, m).collect()) for m in (sent, spread)]
+    assert levels[0] == levels[1]
+    w, p, _ = lm.tokens(K.block_of([t for _, t, *_ in DOCS]))
+    for h in (w, p):
+        u, n = np.unique(h, return_counts=True)
+        assert (sent.filter.levels(u) >= lm.level(n)).all() and (n == 1).any()
+    key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens)
+    for limit in (0, lm.MAX_WORDS):
+        a, b = (sorted(lm.score(docs, m, max_words=limit).collect(), key=key) for m in (sent, spread))
+        assert len(b) == len(DOCS)
+        for x, y in zip(a, b, strict=True):
+            assert (x.doc_id, x.n_tokens, x.n_known, x.train_tokens) == (y.doc_id, y.n_tokens, y.n_known, y.train_tokens)
+            assert (x.base_score, x.score) == pytest.approx((y.base_score, y.score))
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://WWW.Example.COM/en/1?x"), (2, "https://a.example.com/en/2#y"), (3, "http://net/fr/"), (4, None), (5, "no scheme"), (6, "http://x.org?q=/en/"), (6, "http://x.org?q=/en/"), (7, "http://b.net/" + "s/" * 50)]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}

@@ -7,9 +7,12 @@ one entry of each task by then.
 
 Filter. A count c is held as the level 1 + floor(log c / log ``BASE``): the entries
 (n-gram, 1) to (n-gram, level) are put into the segment of its part, ``BITS`` bits an
-entry. A count is read by probing level after level until one is missing. Single pairs
-(below ``MIN_PAIR``) are left out. The filter is broadcast (as a file that
-an executor's workers map together), and its size is bounded: while it is over ``MAX_FILTER`` bytes it is made again with twice the least pair count.
+entry. A count is read by probing level after level until one is missing. All words and
+pairs are held, at every size. Up to ``MAX_FILTER`` bytes the filter is broadcast (as a file
+that an executor's workers map together). A larger one stays a table: the different n-grams
+of each ``BLOCK_TOKENS`` tokens of text are dealt to the parts, probed where the segments
+lie, and their levels go back to the texts. Both ways give the same levels. (Only a caller
+of ``train`` who asks for ``max_filter`` gets a smaller filter without the rarest pairs.)
 
 Probabilities. p(w | v) = l * c(v w) / c(v) + (1 - l) * p(w), with p(w) the base formula on
 the filter's counts and l depending on the level of c(v); the weights maximise the
@@ -42,12 +45,14 @@ from pyspark.sql import functions as F
 from tideline.llm import kernel as K
 from tideline.plans.scratch import drop, stored
 
-BASE, BITS, PROBES, MIN_PAIR = 1.5, 10, 6, 2
-PART_TOKENS, TUNE_TOKENS = 1_500_000, 2_000_000
+BASE, BITS, PROBES, MIN_PAIR = 1.5, 10, 6, 1
+PART_TOKENS, BLOCK_TOKENS, TUNE_TOKENS = 1_500_000, 1_500_000, 2_000_000
 MAX_FILTER, MAX_WORDS = 256 << 20, 12_000_000
 END = K.U(0x1234567DEADBEEF1)
 WEIGHTS = np.array([0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
 LEVELS = 64
+LEVELLED = "doc_id long, text_hash long, n_tokens long, n_known long, base_score double, words binary, pairs binary"
+ASKED = "block string, part int, data binary, at binary, doc_id array<long>, text_hash array<long>, n_tokens array<long>, n_known array<long>, base_score array<double>"
 
 
 def tokens(block: K.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,45 +180,48 @@ def _mapped(name: str) -> np.ndarray:
     return np.load(SparkFiles.get(name), mmap_mode="r")
 
 
+def _probed(h: np.ndarray, data: np.ndarray, begin: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The level of each n-gram, by repeated membership probes of its segment in ``data``."""
+    out, live = np.zeros(len(h), np.int64), np.arange(len(h))
+    for j in range(1, LEVELS + 1):
+        a, b = K.mix(h, 100 + j), K.mix(h, 300 + j) | K.U(1)
+        for i in range(PROBES):
+            at = ((a + K.U(i) * b) % bits).astype(np.int64)
+            ok = (data[begin + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
+            if not ok.all():
+                live, h, a, b, begin, bits = (x[ok] for x in (live, h, a, b, begin, bits))
+            if not len(live):
+                return out
+        out[live] = j
+    return out
+
+
 class Filter:
-    """The whole filter: segments on end, where each begins, and the weights."""
+    """The filter: segments on end and where each begins, or None where they stay a table; the weights."""
 
-    def __init__(self, segments: list[bytes], n: int, v: int):
-        self.parts, self.n, self.v = len(segments), n, v
-        self.data = np.frombuffer(b"".join(segments), np.uint8)
+    def __init__(self, segments: list[bytes] | None, parts: int, n: int, v: int):
+        self.parts, self.n, self.v = parts, n, v
+        self.spread = segments is None
+        self.data = np.frombuffer(b"".join(segments or []), np.uint8)
         self.file: str | None = None
-        size = np.array([len(x) for x in segments], np.int64)
+        size = np.array([len(x) for x in segments or []], np.int64)
         self.begin, self.bits = np.cumsum(size) - size, (size * 8).astype(K.U)
         self.weights = np.zeros(LEVELS + 1)
 
     def sent(self, spark: SparkSession) -> Filter:
         """The same filter, its bits sent to every executor once as a file that workers map."""
         out = copy.copy(self)
-        out.file, out.data = _send(spark, self.data), None
+        if not self.spread:
+            out.file, out.data = _send(spark, self.data), None
         return out
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """The level of each n-gram, by repeated membership probes."""
-        out = np.zeros(len(h), np.int64)
         if not self.n:
-            return out
+            return np.zeros(len(h), np.int64)
         if self.data is None:
             self.data = _mapped(self.file)
         part = _part(h, self.parts).astype(np.int64)
-        live, bits, begin = np.arange(len(h)), self.bits[part], self.begin[part]
-        for j in range(1, LEVELS + 1):
-            for pos in _lazy_places(h, j, bits):
-                at = pos(live)
-                live = live[(self.data[begin[live] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1]
-                if not len(live):
-                    return out
-            out[live] = j
-        return out
-
-
-def _lazy_places(h: np.ndarray, j: int, bits: np.ndarray):
-    for i in range(PROBES):
-        yield lambda live, i=i: ((K.mix(h[live], 100 + j) + K.U(i) * (K.mix(h[live], 300 + j) | K.U(1))) % bits[live]).astype(np.int64)
+        return _probed(h, self.data, self.begin[part], self.bits[part])
 
 
 def _levels_of(f: Filter, h: np.ndarray) -> np.ndarray:
@@ -221,21 +229,162 @@ def _levels_of(f: Filter, h: np.ndarray) -> np.ndarray:
     return f.levels(u)[back]
 
 
-def _tuning(batches: Iterator[pa.RecordBatch], f: Filter, min_pair: int) -> Iterator[pa.RecordBatch]:
-    """The log-likelihood of each weight, by level of the word before, each place left out."""
-    total = np.zeros((LEVELS + 1, len(WEIGHTS)))
+def _base(w: np.ndarray, n: np.ndarray, f: Filter, words: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+    """Known tokens and base score of each text, from the exact counts; 0 without them."""
+    if words is None or not len(n):
+        return np.zeros(len(n), np.int64), np.zeros(len(n))
+    keys, counts = words
+    at = np.cumsum(n) - n
+    u, back = np.unique(w, return_inverse=True)
+    i = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
+    c = np.where(keys[i] == u, counts[i], 0).astype(np.float64) if len(keys) else np.zeros(len(u))
+    return np.add.reduceat((c > 0)[back].astype(np.int64), at), np.add.reduceat((np.log10(c + 1) - math.log10(f.n + f.v + 1))[back], at)
+
+
+def _binary(x: np.ndarray, n: np.ndarray) -> pa.Array:
+    off = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off), pa.py_buffer(x.astype(np.uint8))])
+
+
+def _level_rows(ids: list[pa.Array], n: np.ndarray, known: np.ndarray, base: np.ndarray, lw: np.ndarray, lp: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*ids, pa.array(n), pa.array(known), pa.array(base), _binary(lw, n), _binary(lp, n)], ["doc_id", "text_hash", "n_tokens", "n_known", "base_score", "words", "pairs"])
+
+
+def _held(batches: Iterator[pa.RecordBatch], f: Filter, words: tuple | None) -> Iterator[pa.RecordBatch]:
+    """Rows to the levels of their tokens and pairs, by the filter at hand."""
+    words = words and tuple(map(_mapped, words))
     for batch in batches:
-        for _, block in K.blocks(batch.column(0)):
-            w, p, _ = tokens(block)
-            lw, lp = _levels_of(f, w), _levels_of(f, p)
-            before = np.concatenate([[level(np.array([max(f.n, 1)]))[0]], lw[:-1]])
-            one = np.maximum(ESTIMATE[lw] - 1, 0)
-            low = (one + 1) / (f.n + f.v + 1)
-            c = np.where(ESTIMATE[lp] - 1 >= min_pair, ESTIMATE[lp] - 1, 0)
-            high = np.minimum(c / np.maximum(ESTIMATE[before] - 1, 1), 1)
-            gain = np.log(WEIGHTS[None, :] * high[:, None] + (1 - WEIGHTS[None, :]) * low[:, None])
-            np.add.at(total, before, gain)
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(LEVELS + 1), len(WEIGHTS)), pa.int32()), pa.array(np.tile(np.arange(len(WEIGHTS)), LEVELS + 1), pa.int32()), pa.array(total.ravel())], ["level", "weight", "gain"])
+        for part, block in K.blocks(batch.column(2)):
+            w, p, n = tokens(block)
+            own = [c[part.start : part.stop] for c in batch.columns[:2]]
+            yield _level_rows(own, n, *_base(w, n, f, words), _levels_of(f, w), _levels_of(f, p))
+
+
+def _asked(batches: Iterator[pa.RecordBatch], f: Filter, words: tuple | None) -> Iterator[pa.RecordBatch]:
+    """Rows to blocks: one row (part -1) of the block's texts as places in its different words, and its different n-grams in order, a row for each part."""
+    words = words and tuple(map(_mapped, words))
+    schema = pa.schema([("block", pa.string()), ("part", pa.int32()), ("data", pa.binary()), ("at", pa.binary()), *((c, pa.list_(pa.int64())) for c in ("doc_id", "text_hash", "n_tokens", "n_known")), ("base_score", pa.list_(pa.float64()))])
+    held: list[tuple] = []
+    size = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        name = uuid.uuid4().hex
+        w, n, known, base = (np.concatenate([x[i] for x in held]) for i in range(1, 5))
+        uw, at = np.unique(w, return_inverse=True)
+        ids = [[y for x in held for y in x[0][i].to_pylist()] for i in range(2)]
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (name, -1, uw.tobytes(), at.astype(np.int32).tobytes(), *ids, n.tolist(), known.tolist(), base.tolist()), strict=True))], schema)
+        u = _ngrams(uw, w)[0]
+        cut = np.searchsorted(_part(u, f.parts), np.arange(f.parts + 1).astype(K.U))
+        some = [i for i in range(f.parts) if cut[i] < cut[i + 1]]
+        for i in range(0, len(some), 1024):
+            yield pa.RecordBatch.from_pylist([{"block": name, "part": k, "data": u[cut[k] : cut[k + 1]].tobytes()} for k in some[i : i + 1024]], schema)
+
+    for batch in batches:
+        for part, block in K.blocks(batch.column(2)):
+            w, _, n = tokens(block)
+            held.append(([c[part.start : part.stop] for c in batch.columns[:2]], w, n, *_base(w, n, f, words)))
+            size += len(w)
+            if size > BLOCK_TOKENS:
+                yield from out()
+                held, size = [], 0
+    if held:
+        yield from out()
+
+
+def _ngrams(uw: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different words and pairs of texts on end, in order, and the pairs."""
+    p = pair(np.concatenate([[END], w[:-1]]), w)
+    return np.unique(np.concatenate([uw, p])), p
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of part, its segment (block null) before the n-grams asked for, to their levels."""
+    here, seg = None, np.zeros(0, np.uint8)
+    for batch in batches:
+        rows: list[tuple] = []
+        for part, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block is None:
+                here, seg = part, np.frombuffer(data, np.uint8)
+                continue
+            h = np.frombuffer(data, K.U)
+            got = _probed(h, seg, np.zeros(len(h), np.int64), np.full(len(h), 8 * len(seg), K.U)) if part == here else np.zeros(len(h), np.int64)
+            rows.append((block, part, got.astype(np.uint8).tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], ["block", "part", "data"])
+
+
+def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of block and part, the block's texts first and then the levels, to the levels of each text."""
+    texts, levels = None, []
+
+    def out() -> pa.RecordBatch:
+        uw, at = np.frombuffer(texts["data"], K.U), np.frombuffer(texts["at"], np.int32)
+        u, p = _ngrams(uw, uw[at])
+        got = np.frombuffer(b"".join(levels), np.uint8)
+        n, known = (np.array(texts[c], np.int64) for c in ("n_tokens", "n_known"))
+        ids = [pa.array(texts[c], pa.int64()) for c in ("doc_id", "text_hash")]
+        return _level_rows(ids, n, known, np.array(texts["base_score"], np.float64), got[np.searchsorted(u, uw)][at], got[np.searchsorted(u, p)])
+
+    for batch in batches:
+        for i, part in enumerate(batch.column("part").to_pylist()):
+            if part >= 0:
+                levels.append(batch.column("data")[i].as_py())
+                continue
+            if texts:
+                yield out()
+            texts, levels = batch.slice(i, 1).to_pylist()[0], []
+    if texts:
+        yield out()
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("text_hash"), F.col("text").cast("string"))
+
+
+def levelled(docs: DataFrame, model: Model, max_words: int = MAX_WORDS) -> DataFrame:
+    """A row for each row of ``docs``: the filter's levels of its tokens and of their pairs, a
+    byte each; n_known and base_score are 0 past ``max_words`` words."""
+    spark, rows = docs.sparkSession, _rows(docs)
+    f = model.filter.sent(spark)
+    words = tuple(_send(spark, a) for a in _words(model)) if f.v <= max_words else None
+    if not f.spread:
+        return rows.mapInArrow(lambda it: _held(it, f, words), LEVELLED)
+    asked = stored(rows.mapInArrow(lambda it: _asked(it, f, words), ASKED), "asked")
+    both = asked.where("part >= 0").select("part", "block", "data").union(model.table.select("part", F.lit(None).cast("string"), "segment"))
+    answers = both.repartition(f.parts, "part").sortWithinPartitions("part", "block").mapInArrow(_answered, "block string, part int, data binary")
+    back = asked.where("part < 0").unionByName(answers, allowMissingColumns=True)
+    return back.repartition(f.parts, "block").sortWithinPartitions("block", "part").mapInArrow(_returned, LEVELLED)
+
+
+def _places_of(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Slices of levelled rows, tokens a row, and of each token the cell (level of the word before, of the word, of the pair)."""
+    for i in range(0, batch.num_rows, 512):
+        own = batch.slice(i, 512)
+        lw, lp = (np.frombuffer(b"".join(own.column(c).to_pylist()), np.uint8).astype(np.int64) for c in ("words", "pairs"))
+        before = np.concatenate([lw[-1:], lw[:-1]])  # each text ends, so each begins after, the end
+        yield slice(i, i + own.num_rows), own.column("n_tokens").to_numpy(), (before * (LEVELS + 1) + lw) * (LEVELS + 1) + lp
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((LEVELS + 1) ** 3, np.int64)
+    for batch in batches:
+        for _, _, cell in _places_of(batch):
+            total += np.bincount(cell, minlength=len(total))
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+
+def fitted(levels: DataFrame, f: Filter, min_pair: int) -> np.ndarray:
+    """The weight of each level of the word before that makes ``levels`` likeliest, each place left out."""
+    got = sorted(map(tuple, levels.mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect()))
+    cell, n = np.array(got, np.int64).reshape(-1, 2).T
+    before, lw, lp = cell // (LEVELS + 1) ** 2, cell // (LEVELS + 1) % (LEVELS + 1), cell % (LEVELS + 1)
+    low = (np.maximum(ESTIMATE[lw] - 1, 0) + 1) / (f.n + f.v + 1)
+    c = np.where(ESTIMATE[lp] - 1 >= min_pair, ESTIMATE[lp] - 1, 0)
+    high = np.minimum(c / np.maximum(ESTIMATE[before] - 1, 1), 1)
+    gain = np.zeros((LEVELS + 1, len(WEIGHTS)))
+    np.add.at(gain, before, n[:, None] * np.log(WEIGHTS[None, :] * high[:, None] + (1 - WEIGHTS[None, :]) * low[:, None]))
+    return WEIGHTS[gain.argmax(axis=1)]
 
 
 class Model:
@@ -245,8 +394,8 @@ class Model:
         self.table, self.filter, self.min_pair = table, filter_, min_pair
 
 
-def train(docs: DataFrame, max_filter: int = MAX_FILTER) -> Model:
-    """A model of the ``text`` of all rows of ``docs``."""
+def count(docs: DataFrame, max_filter: int | None = None, max_sent: int = MAX_FILTER) -> Model:
+    """The counts of the ``text`` of all rows of ``docs``; all weights are 0. The filter is sent up to ``max_sent`` bytes."""
     texts = docs.select(F.col("text").cast("string"))
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(65_536, max(8, math.ceil(chars / 5 / PART_TOKENS)))
@@ -257,22 +406,27 @@ def train(docs: DataFrame, max_filter: int = MAX_FILTER) -> Model:
         made = packed.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(lambda it: _segments(it, least), "part int, n long, words binary, counts binary, segment binary")
         table = stored(made, "segments")
         size, n, v = table.agg(F.sum(F.octet_length("segment")), F.sum("n"), F.sum(F.octet_length("words") / 8)).first()
-        if (size or 0) <= max_filter or min_pair > (n or 0):  # then no pair is left to leave out
+        if max_filter is None or (size or 0) <= max_filter or min_pair > (n or 0):  # then no pair is left to leave out
             break
         drop(table)
         min_pair *= 2
-    segments = [bytes(8)] * parts
-    for p, seg in table.select("part", "segment").toLocalIterator():
-        segments[p] = bytes(seg)
-    f = Filter(segments, int(n or 0), int(v or 0))
-    if f.n:
+    segments = None
+    if not n or size <= max_sent:
+        segments = [bytes(8)] * parts
+        for p, seg in table.select("part", "segment").toLocalIterator():
+            segments[p] = bytes(seg)
+    return Model(table, Filter(segments, parts, int(n or 0), int(v or 0)), min_pair)
+
+
+def train(docs: DataFrame, max_filter: int | None = None, max_sent: int = MAX_FILTER) -> Model:
+    """A model of the ``text`` of all rows of ``docs``."""
+    model = count(docs, max_filter, max_sent)
+    if model.filter.n:
+        chars = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 1
         rate = min(1.0, TUNE_TOKENS * 5 / chars)
-        some = texts.where(F.pmod(F.xxhash64(F.lit("tune"), "text"), F.lit(1 << 20)) < rate * (1 << 20))
-        light = f.sent(docs.sparkSession)
-        gains = some.mapInArrow(lambda it: _tuning(it, light, least), "level int, weight int, gain double")
-        for lv, w in gains.groupBy("level", "weight").agg(F.sum("gain").alias("gain")).groupBy("level").agg(F.max_by("weight", "gain")).collect():
-            f.weights[lv] = WEIGHTS[w]
-    return Model(table, f, min_pair)
+        some = docs.where(F.pmod(F.xxhash64(F.lit("tune"), F.col("text").cast("string")), F.lit(1 << 20)) < rate * (1 << 20))
+        model.filter.weights = fitted(levelled(some, model, -1), model.filter, model.min_pair)
+    return model
 
 
 def _words(model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -286,30 +440,14 @@ def _words(model: Model) -> tuple[np.ndarray, np.ndarray]:
     return h, n
 
 
-def _scores(batches: Iterator[pa.RecordBatch], f: Filter, words: tuple | None) -> Iterator[pa.RecordBatch]:
-    denom = math.log10(f.n + f.v + 1)
-    words = words and tuple(map(_mapped, words))
+def _scores(batches: Iterator[pa.RecordBatch], f: Filter) -> Iterator[pa.RecordBatch]:
+    before, lw, lp = np.ogrid[: LEVELS + 1, : LEVELS + 1, : LEVELS + 1]
+    high = np.minimum(ESTIMATE[lp] / np.maximum(ESTIMATE[before], 1), 1)
+    term = np.log10(f.weights[before] * high + (1 - f.weights[before]) * (ESTIMATE[lw] + 1) / (f.n + f.v + 1)).ravel()
     for batch in batches:
-        for part, block in K.blocks(batch.column(2)):
-            w, p, n = tokens(block)
-            at = np.cumsum(n) - n
-            u, back = np.unique(w, return_inverse=True)
-            lw, lp = f.levels(u)[back], _levels_of(f, p)
-            before = np.concatenate([[0], lw[:-1]])
-            before[at] = f.levels(np.array([END]))[0]
-            low = (ESTIMATE[lw] + 1) / (f.n + f.v + 1)
-            high = np.minimum(ESTIMATE[lp] / np.maximum(ESTIMATE[before], 1), 1)
-            weight = f.weights[before]
-            score = np.add.reduceat(np.log10(weight * high + (1 - weight) * low), at)
-            base, known = np.zeros(block.n), np.zeros(block.n, np.int64)
-            if words is not None:
-                keys, counts = words
-                i = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
-                c = np.where(keys[i] == u, counts[i], 0).astype(np.float64) if len(keys) else np.zeros(len(u))
-                base = np.add.reduceat((np.log10(c + 1) - denom)[back], at)
-                known = np.add.reduceat((c > 0)[back].astype(np.int64), at)
-            own = [c[part.start : part.stop] for c in batch.columns[:2]]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "text_hash", "n_tokens", "n_known", "base_score", "score"])
+        for part, n, cell in _places_of(batch):
+            own = [c[part.start : part.stop] for c in batch.columns[:5]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.add.reduceat(term[cell], np.cumsum(n) - n))], ["doc_id", "text_hash", "n_tokens", "n_known", "base_score", "score"])
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,15 +481,16 @@ def _joined_base(rows: DataFrame, model: Model) -> DataFrame:
 
 def score(docs: DataFrame, model: Model, max_words: int = MAX_WORDS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
-    spark = docs.sparkSession
-    f = model.filter.sent(spark)
-    small = model.filter.v <= max_words
-    words = tuple(_send(spark, a) for a in _words(model)) if small else None
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("text_hash"), F.col("text").cast("string"))
+    return _scored(levelled(docs, model, max_words), docs, model, max_words)
+
+
+def _scored(levels: DataFrame, docs: DataFrame, model: Model, max_words: int = MAX_WORDS) -> DataFrame:
+    light = Filter(None, model.filter.parts, model.filter.n, model.filter.v)
+    light.weights = model.filter.weights
     schema = "doc_id long, text_hash long, n_tokens long, n_known long, base_score double, score double"
-    out = rows.mapInArrow(lambda it: _scores(it, f, words), schema)
-    if not small:
-        out = out.drop("n_known", "base_score").join(_joined_base(rows, model), "text_hash", "left")
+    out = levels.mapInArrow(lambda it: _scores(it, light), schema)
+    if model.filter.v > max_words:
+        out = out.drop("n_known", "base_score").join(_joined_base(_rows(docs), model), "text_hash", "left")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(model.filter.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
