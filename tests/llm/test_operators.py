@@ -287,6 +287,13 @@ def test_quality(spark, docs, empty):
     assert {r.doc_id: r.text for r in quality.cleaned(many).collect()}[3] == "own 3 line"
 
 
+def test_quality_counts_all_copies(spark):
+    page, twice, null = prose(40), prose(40), prose(40)
+    rows = [(i, page, "h") for i in range(21)] + [(100, twice, "h")] * 30 + [(None, null, "h")] * 21 + [(200 + i, page, "g") for i in range(20)]
+    got = {(r.doc_id, r.kept) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {*((i, False) for i in range(21)), (100, True), (None, False), *((200 + i, True) for i in range(20))}
+
+
 def test_pieces_are_the_librarys(spark, docs, empty):
     import sentencepiece
 

@@ -2,11 +2,12 @@
 
 One pass measures each text and hashes its lines (the sequence of their words of letters,
 digits and non-ASCII, A-Z lowered; other lines don't count). A line's frequency is the
-number of different texts of its host (``source``) that hold it; exact copies of a text are
-one. Lines in more texts than ``max(MIN_TEXTS, SHARE * texts of the host)`` are removed, and
+number of documents of its host (``source``) that hold it; exact copies all count. A
+document is a different doc_id of a text, each row where doc_id is null. Lines in more
+documents than ``max(MIN_TEXTS, SHARE * documents of the host)`` are removed, and
 a document is depleted if more than ``DEPLETED`` of its line characters go. Rows are first
-reduced to one a text and host, then counted with partial sums, so a line that a third of
-all texts share is no hot key; the join back is split by the adaptive skew join.
+reduced to one a text and host that carries its documents, then summed with partial sums, so a
+line that a third of all texts share is no hot key; the join back is split by the adaptive skew join.
 
 ``kept`` is false for ``base_failed`` (under ten words, or over a fifth of the words in
 repeated 5-word windows) or a depleted document.
@@ -118,10 +119,12 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def removed(stats: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
     """(host, text_hash, removed_chars, removed_lines): the lines above the limit of each text."""
-    texts = stats.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
-    lines = texts.select("host", "text_hash", F.inline("lines"))
-    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_texts)
-    size = texts.groupBy("host").agg(F.count("*").alias("texts"))
+    ids = stats.groupBy("host", "text_hash", "doc_id").agg(F.count("*").alias("rows"))
+    copies = ids.groupBy("host", "text_hash").agg(F.sum(F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(1)).alias("docs"))
+    texts = stats.groupBy("host", "text_hash").agg(F.first("lines").alias("lines")).join(copies, ["host", "text_hash"])
+    lines = texts.select("host", "text_hash", "docs", F.inline("lines"))
+    often = lines.groupBy("host", "line").agg(F.sum("docs").alias("n")).where(F.col("n") > min_texts)
+    size = copies.groupBy("host").agg(F.sum("docs").alias("texts"))
     often = often.join(size, "host").where(F.col("n") > share * F.col("texts")).select("host", "line")
     return lines.join(often, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("chars").alias("removed_chars"), F.collect_list("line").alias("removed_lines"))
 
