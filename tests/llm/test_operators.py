@@ -294,6 +294,15 @@ def test_quality_counts_all_copies(spark):
     assert got == {*((i, False) for i in range(21)), (100, True), (None, False), *((200 + i, True) for i in range(20))}
 
 
+def test_quality_limit_does_not_grow_with_the_host(spark):
+    page, other = prose(40), prose(40)
+    big = spark.range(25_000).selectExpr("id doc_id", "concat('only ', id, ' here') text", "'h' source")
+    rows = [(30_000 + i, f"{page}\n{i}", "h") for i in range(21)] + [(40_000 + i, f"{other}\n{i}", "h") for i in range(20)]
+    asked = big.union(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {r.doc_id: r.kept for r in quality.judge(asked).where("doc_id >= 30000").collect()}
+    assert got == {**{30_000 + i: False for i in range(21)}, **{40_000 + i: True for i in range(20)}}
+
+
 def test_pieces_are_the_librarys(spark, docs, empty):
     import sentencepiece
 

@@ -4,7 +4,7 @@ One pass measures each text and hashes its lines (the sequence of their words of
 digits and non-ASCII, A-Z lowered; other lines don't count). A line's frequency is the
 number of documents of its host (``source``) that hold it; exact copies all count. A
 document is a different doc_id of a text, each row where doc_id is null. Lines in more
-documents than ``max(MIN_TEXTS, SHARE * documents of the host)`` are removed, and
+than ``MIN_TEXTS`` documents are removed, whatever the size of the host, and
 a document is depleted if more than ``DEPLETED`` of its line characters go. Rows are first
 reduced to one a text and host that carries its documents, then summed with partial sums, so a
 line that a third of all texts share is no hot key; the join back is split by the adaptive skew join.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tideline.llm import kernel as K
 from tideline.plans.scratch import stored
 
-MIN_TEXTS, SHARE, DEPLETED = 20, 0.001, 0.7
+MIN_TEXTS, DEPLETED = 20, 0.7
 _SYMBOL = K.byte_class(*b"#*$%&|<>")
 _NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -117,22 +117,20 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     return rows.mapInArrow(_measured, schema)
 
 
-def removed(stats: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
+def removed(stats: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """(host, text_hash, removed_chars, removed_lines): the lines above the limit of each text."""
     ids = stats.groupBy("host", "text_hash", "doc_id").agg(F.count("*").alias("rows"))
     copies = ids.groupBy("host", "text_hash").agg(F.sum(F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(1)).alias("docs"))
     texts = stats.groupBy("host", "text_hash").agg(F.first("lines").alias("lines")).join(copies, ["host", "text_hash"])
     lines = texts.select("host", "text_hash", "docs", F.inline("lines"))
-    often = lines.groupBy("host", "line").agg(F.sum("docs").alias("n")).where(F.col("n") > min_texts)
-    size = copies.groupBy("host").agg(F.sum("docs").alias("texts"))
-    often = often.join(size, "host").where(F.col("n") > share * F.col("texts")).select("host", "line")
+    often = lines.groupBy("host", "line").agg(F.sum("docs").alias("n")).where(F.col("n") > min_texts).select("host", "line")
     return lines.join(often, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("chars").alias("removed_chars"), F.collect_list("line").alias("removed_lines"))
 
 
-def judge(docs: DataFrame, host: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", min_texts: int = MIN_TEXTS, depleted: float = DEPLETED) -> DataFrame:
     """A row for each row of ``docs``: statistics, base_failed, depletion and kept."""
     stats = stored(measured(docs, host), "quality")
-    gone = removed(stats, min_texts, share).select("host", "text_hash", "removed_chars")
+    gone = removed(stats, min_texts).select("host", "text_hash", "removed_chars")
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
     out = stats.withColumn("line_chars", total).drop("lines").join(gone, ["host", "text_hash"], "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -157,9 +155,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
 
 
-def cleaned(docs: DataFrame, host: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
+def cleaned(docs: DataFrame, host: str = "source", min_texts: int = MIN_TEXTS) -> DataFrame:
     """``docs``, all columns, the text without the lines above the limit."""
-    gone = removed(stored(measured(docs, host), "quality"), min_texts, share)
+    gone = removed(stored(measured(docs, host), "quality"), min_texts)
     gone = gone.select(F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), "removed_lines")
     keyed = docs.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
     out = keyed.join(gone, ["_host", "_hash"], "left").select(*docs.columns, "removed_lines")
