@@ -238,6 +238,28 @@ def test_lm_holds_all_pairs_of_a_filter_too_large_to_send(docs):
             assert (x.base_score, x.score) == pytest.approx((y.base_score, y.score))
 
 
+def test_lm_weights_are_of_all_training_texts(docs, monkeypatch):
+    monkeypatch.setattr(lm, "TUNE_TOKENS", 0, raising=False)
+    f = lm.train(docs).filter
+    gain = np.zeros((lm.LEVELS + 1, len(lm.WEIGHTS)))
+    left = np.maximum(lm.ESTIMATE - 1, 0)
+    for _, t, *_rest in DOCS:
+        w, p, _ = lm.tokens(K.block_of([t]))
+        lw, lp = f.levels(w), f.levels(p)
+        for v, x, y in zip([lw[-1], *lw[:-1]], lw, lp, strict=True):
+            high = min(left[y] / max(left[v], 1), 1)
+            gain[v] += np.log(lm.WEIGHTS * high + (1 - lm.WEIGHTS) * (left[x] + 1) / (f.n + f.v + 1))
+    assert f.weights.any() and f.weights == pytest.approx(lm.WEIGHTS[gain.argmax(axis=1)])
+
+
+def test_lm_query_is_train_and_score(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = lm.score(rows, lm.train(rows.where(~lm.held_out())))
+    a, b = (sorted((r.doc_id is None, r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in x.collect()) for x in (want, lm.query(spark, str(tmp_path))))
+    assert a == b and len(a) == len(DOCS)
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://WWW.Example.COM/en/1?x"), (2, "https://a.example.com/en/2#y"), (3, "http://net/fr/"), (4, None), (5, "no scheme"), (6, "http://x.org?q=/en/"), (6, "http://x.org?q=/en/"), (7, "http://b.net/" + "s/" * 50)]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}

@@ -16,8 +16,10 @@ of ``train`` who asks for ``max_filter`` gets a smaller filter without the rares
 
 Probabilities. p(w | v) = l * c(v w) / c(v) + (1 - l) * p(w), with p(w) the base formula on
 the filter's counts and l depending on the level of c(v); the weights maximise the
-likelihood, each place left out of its own counts, of at most about ``TUNE_TOKENS`` training
-tokens (a documented bound). A text begins after the end token.
+likelihood of all training texts, each place left out of its own counts; the places are first
+counted by (level of v, level of w, level of the pair), so that the weights need one histogram.
+A text begins after the end token. The query probes each text once: the levels are written, a
+byte a token and pair, and read for the weights and for the scores.
 
 The base uses exact counts: the table of words is broadcast while it is within
 ``MAX_WORDS`` entries, else the words of each different text are joined to it; both ways give
@@ -46,7 +48,7 @@ from tideline.llm import kernel as K
 from tideline.plans.scratch import drop, stored
 
 BASE, BITS, PROBES, MIN_PAIR = 1.5, 10, 6, 1
-PART_TOKENS, BLOCK_TOKENS, TUNE_TOKENS = 1_500_000, 1_500_000, 2_000_000
+PART_TOKENS, BLOCK_TOKENS = 1_500_000, 1_500_000
 MAX_FILTER, MAX_WORDS = 256 << 20, 12_000_000
 END = K.U(0x1234567DEADBEEF1)
 WEIGHTS = np.array([0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
@@ -422,10 +424,7 @@ def train(docs: DataFrame, max_filter: int | None = None, max_sent: int = MAX_FI
     """A model of the ``text`` of all rows of ``docs``."""
     model = count(docs, max_filter, max_sent)
     if model.filter.n:
-        chars = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 1
-        rate = min(1.0, TUNE_TOKENS * 5 / chars)
-        some = docs.where(F.pmod(F.xxhash64(F.lit("tune"), F.col("text").cast("string")), F.lit(1 << 20)) < rate * (1 << 20))
-        model.filter.weights = fitted(levelled(some, model, -1), model.filter, model.min_pair)
+        model.filter.weights = fitted(levelled(docs, model, -1), model.filter, model.min_pair)
     return model
 
 
@@ -500,5 +499,8 @@ def held_out() -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    got = score(docs, train(docs.where(~held_out())))
+    model = count(docs.where(~held_out()))
+    levels = stored(levelled(docs, model), "levels")
+    model.filter.weights = fitted(levels.where(~held_out()), model.filter, model.min_pair)
+    got = _scored(levels, docs, model)
     return got.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
