@@ -276,6 +276,14 @@ def test_url_templates_are_rejected_by_purity(spark):
     assert got[0] == "allow" and got[139] == "block"
 
 
+def test_url_templates_go_to_the_end_of_the_path(spark):
+    deep = "h.net/a/b/c/d/e/f/g/h"
+    rows = [(i, f"http://{deep}/{('good', 'bad')[i % 2]}/{i}") for i in range(40)] + [(50, "http://one.net/a/b")]
+    got = {r.page_id: r.template for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got.pop(50) == "*/*/*"
+    assert got == {i: f"/a/b/c/d/e/f/g/h/{('good', 'bad')[i % 2]}/{{n}}" for i in range(40)}
+
+
 def test_licenses(docs, empty):
     got = {(r.doc_id, r.n_words): r for r in licenses.scan(docs).collect()}
     r = got[12, 8]

@@ -4,8 +4,9 @@ Tree. Path segments are typed first (digits, long hex, uuids become marks). Then
 by level under each host, a node's segments are counted: a segment stays a branch of its
 own if it has ``SUPPORT`` pages and either the node has at most ``FANOUT`` segments or its
 share of blocked pages differs from its siblings' at ``Z`` deviations (two-proportion
-test); all others are statistically alike and merge into the wildcard branch ``*``. Levels
-past ``DEPTH`` are one tail. Labels are the verdicts of the rules.
+test); all others are statistically alike and merge into the wildcard branch ``*``. Paths
+are counted to their end; below a node of less than ``SUPPORT`` pages all branches are ``*``,
+so it is closed at once. Labels are the verdicts of the rules.
 
 A template's purity is its blocked share among its labelled pages, smoothed by ``WEIGHT``
 pages at the share of all labelled pages. Templates of at least ``REJECT`` are blocked: without
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tideline.plans.scratch import stored
 
-FANOUT, SUPPORT, Z, DEPTH, WEIGHT, REJECT = 12, 5, 3.0, 8, 10.0, 0.8
+FANOUT, SUPPORT, Z, WEIGHT, REJECT = 12, 5, 3.0, 10.0, 0.8
 
 # The rules of the query, (rule, verdict).
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -60,32 +61,30 @@ def typed(path: Column) -> Column:
         long_hex = s.rlike(r"^[0-9a-fA-F]{8,}$") & s.rlike(r"[0-9]")
         return F.when(uuid, "{uuid}").when(long_hex & ~s.rlike("^[0-9]+$"), "{hex}").otherwise(F.regexp_replace(s, r"[0-9]+", "{n}"))
 
-    segs = F.split(path, "/")
-    head = F.transform(F.slice(segs, 1, DEPTH), mark)
-    return F.when(F.size(segs) > DEPTH, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    return F.transform(F.split(path, "/"), mark)
 
 
 def tree(counts: DataFrame) -> DataFrame:
     """(host, typed, template) for rows (host, typed, n, labelled, blocked) of different typed paths."""
-    deepest = counts.agg(F.max(F.size("typed"))).first()[0] or 0
-    now = counts.withColumn("template", F.lit(""))
-    for d in range(deepest):
-        seg = F.try_element_at("typed", F.lit(d + 1))
+    now, d = counts.withColumn("template", F.lit("")).withColumn("open", F.lit(True)), 0
+    while d < (now.where("open").agg(F.max(F.size("typed"))).first()[0] or 0):
+        seg = F.when(F.col("open"), F.try_element_at("typed", F.lit(d + 1)))
         now = now.withColumn("seg", seg)
         kids = now.where("seg is not null").groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
-        node = kids.groupBy("host", "template").agg(F.count("*").alias("fan"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
+        node = kids.groupBy("host", "template").agg(F.count("*").alias("fan"), F.sum("n").alias("pages"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
         kids = kids.join(node, ["host", "template"])
         others, bad = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
         pool = F.try_divide(F.col("all_blocked"), F.col("all_labelled"))
         spread = F.sqrt(pool * (1 - pool) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), others)))
         z = F.try_divide(F.abs(F.try_divide(F.col("blocked"), F.col("labelled")) - F.try_divide(bad, others)), spread)
         own = (F.col("n") >= SUPPORT) & ((F.col("fan") <= FANOUT) | F.coalesce(z >= Z, F.lit(False)))
-        kids = kids.select("host", "template", "seg", F.when(own, F.col("seg")).otherwise("*").alias("branch"))
+        kids = kids.select("host", "template", "seg", F.when(own, F.col("seg")).otherwise("*").alias("branch"), (F.col("pages") < SUPPORT).alias("few"))
         joined = now.join(kids, ["host", "template", "seg"], "left")
-        longer = F.concat("template", F.lit("/" if d else ""), "branch")
-        now = joined.withColumn("template", F.when(F.col("branch").isNotNull(), longer).otherwise(F.col("template"))).drop("seg", "branch")
-        now = stored(now, "tree")
-    return now
+        rest = F.when(F.col("few"), F.expr(f"repeat('/*', size(typed) - {d + 1})")).otherwise("")
+        longer = F.concat("template", F.lit("/" if d else ""), "branch", rest)
+        now = joined.withColumn("template", F.when(F.col("branch").isNotNull(), longer).otherwise(F.col("template"))).withColumn("open", F.coalesce(~F.col("few"), F.lit(False))).drop("seg", "branch", "few")
+        now, d = stored(now, "tree"), d + 1
+    return now.drop("open")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, reject: float = REJECT) -> DataFrame:
