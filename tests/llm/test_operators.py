@@ -269,17 +269,85 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_url_templates_are_rejected_by_purity(spark):
-    rows = [(i, f"http://h.net/es/a{i}") for i in range(40)] + [(100 + i, f"http://h.net/xx/{i}") for i in range(40)]
-    rules = [(f"h.net/xx/{i}", "block") for i in range(1, 4)] + [("h.net/es/", "allow")]
-    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules, reject=0.3).collect()}
-    assert got[0] == "allow" and got[139] == "block"
+def brute_templates(rows, rules):
+    """Template and purity of each (host, typed path), level by level, in plain Python."""
+    W = urls.WEIGHT
+    paths = collections.defaultdict(lambda: [0, 0, 0])
+    for host, typed, rule in rows:
+        for i, x in enumerate((1, rule is not None, rule == "block")):
+            paths[host, typed][i] += x
+    labelled, blocked = (sum(v[i] for v in paths.values()) for i in (1, 2))
+    everywhere = blocked / labelled if labelled else 0.0
+
+    def share(begin, whole=False):
+        own = [v for (_, t), v in paths.items() if (t if whole else t[: len(begin)]) == begin]
+        return (sum(v[2] for v in own) + W * everywhere) / (sum(v[1] for v in own) + W)
+
+    found = {}
+
+    def descend(host, template, keys, d):
+        kids = collections.defaultdict(lambda: [0, 0.0, 0.0, []])
+        for k in keys:
+            if len(k[1]) > d:
+                kids[k[1][d]][3].append(k)
+            else:
+                found[k] = "/".join(template)
+        for kid in kids.values():
+            n, lab, bad = (sum(paths[k][i] for k in kid[3]) for i in range(3))
+            kid[0], kid[1] = n, lab + W
+            kid[2] = bad + W * sum(paths[k][0] * share(k[1][: d + 1]) for k in kid[3]) / n
+        if sum(kid[0] for kid in kids.values()) < urls.SUPPORT:
+            for kid in kids.values():
+                for k in kid[3]:
+                    found[k] = "/".join([*template, *["*"] * (len(k[1]) - d)])
+            return
+        after = collections.defaultdict(list)
+        for seg, (n, seen, bad, own) in kids.items():
+            others, rest = (sum(kid[i] for s, kid in kids.items() if s != seg) for i in (1, 2))
+            pool = sum(kid[2] for kid in kids.values()) / sum(kid[1] for kid in kids.values())
+            alone = others < W / 2
+            spread = math.sqrt(max(pool * (1 - pool), 0) * (1 / seen + 1 / others)) if others else 0
+            far = spread and abs(bad / seen - rest / others) / spread >= urls.Z
+            after[seg if n >= urls.SUPPORT and (alone or far) else "*"] += own
+        for seg, own in after.items():
+            descend(host, [*template, seg], own, d + 1)
+
+    for host in {h for h, _ in paths}:
+        descend(host, [], [k for k in paths if k[0] == host], 0)
+    out = {}
+    for k, template in found.items():
+        own = [paths[x] for x, t in found.items() if (x[0], t) == (k[0], template)]
+        prior = sum(paths[x][0] * share(x[1], True) for x, t in found.items() if (x[0], t) == (k[0], template)) / sum(v[0] for v in own)
+        out[k] = template, (sum(v[2] for v in own) + W * prior) / (sum(v[1] for v in own) + W)
+    return out
+
+
+def test_url_templates_against_brute_force(spark):
+    rng = random.Random(3)
+    rules = [("bad.org/", "block"), ("good.org/", "allow"), ("big.org/x/", "block"), ("big.org/y/", "allow")]
+    rows = []
+    for i in range(900):
+        host = rng.choice(["bad.org", "good.org", "big.org", "free.net", "rare.net"])
+        first = rng.choice({"bad.org": "xxxy", "good.org": "yyyx", "rare.net": "pqrst"}.get(host, "xyz"))
+        tail = rng.choice([f"{rng.randint(1, 999)}", f"p{rng.randint(1, 9)}.html", "a/b/c", ""])
+        rows.append((i, f"http://{host}/{first}/{tail}", "clash", 1))
+    table = spark.createDataFrame(rows, "page_id long, url string, template string, purity int")
+    got = {r.page_id: r for r in urls.judge(table, rules, reject=0.6).collect()}
+    typed = lambda p: tuple(re.sub("[0-9]+", "{n}", x) for x in p.split("/"))
+    rule = lambda r: dict(rules).get(r.rule)
+    want = brute_templates([(r.host, typed(r.path), rule(r)) for r in got.values()], rules)
+    for r in got.values():
+        template, purity = want[r.host, typed(r.path)]
+        assert (r.template, round(r.purity, 9)) == (template, round(purity, 9))
+        assert r.verdict == (rule(r) or ("block" if purity >= 0.6 else "allow"))
+    assert {r.verdict for r in got.values() if r.rule is None} == {"allow", "block"}
 
 
 def test_url_templates_go_to_the_end_of_the_path(spark):
     deep = "h.net/a/b/c/d/e/f/g/h"
     rows = [(i, f"http://{deep}/{('good', 'bad')[i % 2]}/{i}") for i in range(40)] + [(50, "http://one.net/a/b")]
-    got = {r.page_id: r.template for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    rules = [(f"{deep}/good/", "allow"), (f"{deep}/bad/", "block")]
+    got = {r.page_id: r.template for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
     assert got.pop(50) == "*/*/*"
     assert got == {i: f"/a/b/c/d/e/f/g/h/{('good', 'bad')[i % 2]}/{{n}}" for i in range(40)}
 

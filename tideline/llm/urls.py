@@ -1,16 +1,20 @@
 """URL filters (operator 6): rules, and a path-template tree for what no rule fits.
 
 Tree. Path segments are typed first (digits, long hex, uuids become marks). Then, level
-by level under each host, a node's segments are counted: a segment stays a branch of its
-own if it has ``SUPPORT`` pages and either the node has at most ``FANOUT`` segments or its
-share of blocked pages differs from its siblings' at ``Z`` deviations (two-proportion
-test); all others are statistically alike and merge into the wildcard branch ``*``. Paths
-are counted to their end; below a node of less than ``SUPPORT`` pages all branches are ``*``,
-so it is closed at once. Labels are the verdicts of the rules.
+by level under each host, a node's segments are compared: a segment stays a branch of its
+own if it has ``SUPPORT`` pages and its blocked share differs from that of its siblings at
+``Z`` deviations (two-proportion test); all others are statistically alike and merge into the
+wildcard branch ``*``. Paths are counted to their end; below a node of less than ``SUPPORT``
+pages all branches are ``*``, so it is closed at once.
 
-A template's purity is its blocked share among its labelled pages, smoothed by ``WEIGHT``
-pages at the share of all labelled pages. Templates of at least ``REJECT`` are blocked: without
-labels of its own a template is never blocked unless nearly everything is.
+Labels are the verdicts of the rules. Most hosts have few of them, so the same typed path
+(and each of its beginnings) is also counted over all hosts, smoothed by ``WEIGHT`` pages at the
+share of all labelled pages; a branch or template borrows that share as ``WEIGHT`` pages of its
+own. Borrowed shares decide for a host without labels, a host's own labels outweigh them.
+
+A template's purity is its blocked share among its labelled pages, smoothed by the ``WEIGHT``
+borrowed ones. Templates of at least ``REJECT`` are blocked, and so are the pages of their
+host and template that no rule fits.
 
 Everything is counted on (host, typed path) rows, pre-aggregated, so a host with a third of
 all pages is a few rows by then; the join back to the pages is left to the adaptive skew join.
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tideline.plans.scratch import stored
 
-FANOUT, SUPPORT, Z, WEIGHT, REJECT = 12, 5, 3.0, 10.0, 0.8
+SUPPORT, Z, WEIGHT, REJECT = 5, 3.0, 10.0, 0.8
 
 # The rules of the query, (rule, verdict).
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -64,27 +68,42 @@ def typed(path: Column) -> Column:
     return F.transform(F.split(path, "/"), mark)
 
 
+def borrowed(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, share): the blocked share of the typed paths of equal ``keys`` over all hosts, smoothed."""
+    all_share = counts.agg(F.coalesce(F.try_divide(F.sum("blocked"), F.sum("labelled")), F.lit(0.0)).alias("all_share"))
+    summed = counts.groupBy(*keys).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    smoothed = (F.col("blocked") + WEIGHT * F.col("all_share")) / (F.col("labelled") + WEIGHT)
+    return summed.join(F.broadcast(all_share)).select(*keys, smoothed.alias("share"))
+
+
 def tree(counts: DataFrame) -> DataFrame:
-    """(host, typed, template) for rows (host, typed, n, labelled, blocked) of different typed paths."""
+    """(host, typed, n, labelled, blocked, template, prior) for rows (host, typed, n, labelled,
+    blocked) of different typed paths; prior is the whole path's share over all hosts."""
     now, d = counts.withColumn("template", F.lit("")).withColumn("open", F.lit(True)), 0
     while d < (now.where("open").agg(F.max(F.size("typed"))).first()[0] or 0):
-        seg = F.when(F.col("open"), F.try_element_at("typed", F.lit(d + 1)))
-        now = now.withColumn("seg", seg)
-        kids = now.where("seg is not null").groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
-        node = kids.groupBy("host", "template").agg(F.count("*").alias("fan"), F.sum("n").alias("pages"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
+        begin = F.slice("typed", 1, d + 1)
+        now = now.withColumn("seg", F.when(F.col("open"), F.try_element_at("typed", F.lit(d + 1))))
+        shares = borrowed(counts.where(F.size("typed") > d).withColumn("prefix", begin), ["prefix"])
+        kids = now.where("seg is not null").withColumn("prefix", begin).groupBy("host", "template", "seg", "prefix").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
+        # Prefixes that reach one node by different wildcards are one branch, borrowing their mean share.
+        kids = kids.join(shares, "prefix").groupBy("host", "template", "seg").agg(
+            *(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")), (F.sum(F.col("n") * F.col("share")) / F.sum("n")).alias("share"))
+        kids = kids.withColumn("seen", F.col("labelled") + WEIGHT).withColumn("bad", F.col("blocked") + WEIGHT * F.col("share"))
+        node = kids.groupBy("host", "template").agg(F.sum("n").alias("pages"), F.sum("seen").alias("all_seen"), F.sum("bad").alias("all_bad"))
         kids = kids.join(node, ["host", "template"])
-        others, bad = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
-        pool = F.try_divide(F.col("all_blocked"), F.col("all_labelled"))
-        spread = F.sqrt(pool * (1 - pool) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), others)))
-        z = F.try_divide(F.abs(F.try_divide(F.col("blocked"), F.col("labelled")) - F.try_divide(bad, others)), spread)
-        own = (F.col("n") >= SUPPORT) & ((F.col("fan") <= FANOUT) | F.coalesce(z >= Z, F.lit(False)))
+        others, rest = F.col("all_seen") - F.col("seen"), F.col("all_bad") - F.col("bad")
+        pool = F.try_divide(F.col("all_bad"), F.col("all_seen"))
+        spread = F.sqrt(F.greatest(pool * (1 - pool), F.lit(0.0)) * (F.try_divide(F.lit(1.0), F.col("seen")) + F.try_divide(F.lit(1.0), others)))
+        z = F.try_divide(F.abs(F.col("bad") / F.col("seen") - F.try_divide(rest, others)), spread)
+        alone = others < WEIGHT / 2  # an only child has no siblings to merge with
+        own = (F.col("n") >= SUPPORT) & (alone | F.coalesce(z >= Z, F.lit(False)))
         kids = kids.select("host", "template", "seg", F.when(own, F.col("seg")).otherwise("*").alias("branch"), (F.col("pages") < SUPPORT).alias("few"))
         joined = now.join(kids, ["host", "template", "seg"], "left")
         rest = F.when(F.col("few"), F.expr(f"repeat('/*', size(typed) - {d + 1})")).otherwise("")
         longer = F.concat("template", F.lit("/" if d else ""), "branch", rest)
         now = joined.withColumn("template", F.when(F.col("branch").isNotNull(), longer).otherwise(F.col("template"))).withColumn("open", F.coalesce(~F.col("few"), F.lit(False))).drop("seg", "branch", "few")
         now, d = stored(now, "tree"), d + 1
-    return now.drop("open")
+    return now.drop("open").join(borrowed(counts, ["typed"]).withColumnRenamed("share", "prior"), "typed")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, reject: float = REJECT) -> DataFrame:
@@ -94,12 +113,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, reject: float
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"), typed(F.col("path")).alias("typed"))
     counts = rows.groupBy("host", "typed").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked"))
-    leaves = tree(stored(counts, "paths"))
-    here = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    share = here.agg(F.coalesce(F.try_divide(F.sum("blocked"), F.sum("labelled")), F.lit(0.0)).alias("share"))
-    purity = (F.col("blocked") + WEIGHT * F.col("share")) / (F.col("labelled") + WEIGHT)
-    pure = here.join(F.broadcast(share)).select("host", "template", purity.alias("purity"))
-    known = leaves.select("host", "typed", "template").join(pure, ["host", "template"])
+    counts = stored(counts, "paths")
+    leaves = stored(tree(counts), "leaves")
+    here = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), (F.sum(F.col("n") * F.col("prior")) / F.sum("n")).alias("prior"))
+    purity = (F.col("blocked") + WEIGHT * F.col("prior")) / (F.col("labelled") + WEIGHT)
+    known = leaves.select("host", "typed", "template").join(here.select("host", "template", purity.alias("purity")), ["host", "template"])
     out = rows.join(known, ["host", "typed"], "left")
     found = F.coalesce("ruled", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", found.alias("verdict"), "template", "purity")
