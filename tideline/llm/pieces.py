@@ -14,9 +14,11 @@ characters outside the vocabulary become byte pieces.
 
 Spaces are written as U+2581, with one put before the text, as the model has it. A piece
 has U+2581 only at its front or throughout, so no path leaves a boundary between another
-character and U+2581 out: all paths converge there. Chunks between such boundaries are
-encoded apart and remembered. The same holds between ASCII marks and Latin letters or digits if
-no piece has them side by side.
+character and U+2581 out: all paths converge there. The same holds between ASCII marks and
+Latin letters or digits if no piece has them side by side. So the stream over a text is cut at
+these certain boundaries as it is read; what lies between two of them goes through the Viterbi
+(``path``), and the ids of spans of at most ``CACHED`` characters are kept in a cache in front of
+it, which changes no id. Neither a list of spans nor a lattice of the text is ever held.
 
 Defined results. Null or empty text: no ids. Ties of unigram paths go to the longer last
 piece. Repeated rows: one row each. Further columns are kept by ``encode`` and ignored by
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Chunks remembered by a worker; the memory is emptied when it is full.
-REMEMBERED = 600_000
+#: Spans remembered by a worker, and their longest; the cache is emptied when it is full.
+REMEMBERED, CACHED = 600_000, 64
 
 
 def default_model() -> str:
@@ -68,13 +71,13 @@ class Encoder:
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in own}
         self.piece = [sp.id_to_piece(i) for i in range(n)]
         self.byte_id = {int(p[3:-1], 16): i for i, p in enumerate(self.piece) if sp.is_byte(i)}
-        self.is_byte = [sp.is_byte(i) for i in range(n)]
+        self.raw = [bytes([int(p[3:-1], 16)]) if sp.is_byte(i) else p.encode() for i, p in enumerate(self.piece)]
         self.longest = max(map(len, self.id_of))
         self.bpe = _is_bpe(path)
         self.normal = sp.normalize
         self.unknown = min(self.score.values(), default=0.0) - 10
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.chunks: dict[str, array] = {}
         # BPE: how a piece came about (its last two parts); pieces that never form are left out.
         self.halves: dict[str, tuple[str, str]] = {}
         if self.bpe:
@@ -129,111 +132,94 @@ class Encoder:
             else:
                 until, left_undone, b = rb, False, self.halves[b][0]
 
-    def _short(self, chunk: str) -> list[str]:
-        """The pieces of a short BPE chunk, its lattice held whole."""
-        size, longest, usable, pairs = len(chunk), self.longest, self.usable, self.pairs
-        last: list[str | None] = [None] * (size + 1)
-        for i in range(1, size + 1):
-            for j in range(i - 1, max(0, i - longest) - 1, -1):
-                t = chunk[j:i]
-                if t not in usable and i - j > 1:
-                    continue
-                if j:
-                    m = last[j]
-                    if m is None:
-                        continue
-                    ok = pairs.get((m, t))
-                    if not (self._fits(m, t) if ok is None else ok):
-                        continue
-                last[i] = t
-                break
-        out, i = [], size
-        while i:
-            out.append(last[i])
-            i -= len(last[i])
-        return out[::-1]
-
-    def _last(self, chunk: str, i: int, back: dict[int, int], cost: dict[int, float]) -> int | None:
-        """The length of the last piece of the best path to boundary ``i``, or None."""
-        best, length = None, None
-        for n in range(min(self.longest, i), 0, -1):
-            t = chunk[i - n : i]
-            s = self.score.get(t)
-            if n > 1 and t not in self.usable or i - n not in back:
-                continue
-            if self.bpe:
-                m = back[i - n]
-                if not m or self._fits(chunk[i - n - m : i - n], t):
-                    cost[i] = 0.0
-                    return n
-            else:
-                c = cost[i - n] + (self.unknown if s is None else s)
-                if best is None or c > best:
-                    best, length = c, n
-        if length:
-            cost[i] = best
-        return length
-
     def path(self, chunk: str) -> Iterator[str]:
         """The pieces of the best path, each as soon as all surviving paths share it."""
-        back, cost, done, i = {0: 0}, {0: 0.0}, 0, 0
-        size = len(chunk)
-        while i < size:
-            i += 1
-            n = self._last(chunk, i, back, cost)
-            if n is None:
-                continue
-            back[i] = n
-            if i < size and (i - done) % self.longest:
+        # For each boundary from ``done`` on, the length of the path's last piece (None: no path).
+        back: list[int | None] = [0]
+        cost: dict[int, float] = {0: 0.0}
+        size, longest, done = len(chunk), self.longest, 0
+        for i in range(1, size + 1):
+            back.append(self._fitting(chunk, i, done, back) if self.bpe else self._cheapest(chunk, i, done, back, cost))
+            if i < size and (i - done) % longest:
                 continue
             # Boundaries that a later piece can start from; their paths, walked back together.
-            live = {j for j in range(max(done, i - self.longest), i + 1) if j in back} if i < size else {i}
+            live = [j for j in range(max(done, i - longest), i + 1) if back[j - done] is not None] if i < size else [i]
             while len(live) > 1:
-                j = max(live)
-                live.remove(j)
-                live.add(max(done, j - back[j]))
-            common = live.pop()
-            out, j = [], common
+                j = live.pop()
+                before = max(done, j - back[j - done])
+                if before not in live:
+                    insort(live, before)
+            out, j = [], live[0]
             while j > done:
-                out.append(chunk[j - back[j] : j])
-                j -= back[j]
+                out.append(chunk[j - back[j - done] : j])
+                j -= back[j - done]
             yield from reversed(out)
-            if common > done:
-                done = common
-                for j in [j for j in back if j < done]:
-                    del back[j], cost[j]
-
-    def _ids(self, chunk: str) -> bytes:
-        out: list[int] = []
-        for p in self._short(chunk) if self.bpe and len(chunk) <= 64 else self.path(chunk):
+            for j in range(done, live[0]):
+                cost.pop(j, None)
+            back, done = back[live[0] - done :], live[0]
+
+    def _fitting(self, chunk: str, i: int, done: int, back: list[int | None]) -> int | None:
+        """BPE: the length of the one last piece that fits what is before it."""
+        usable, pairs = self.usable, self.pairs
+        for j in range(i - 1, max(done, i - self.longest) - 1, -1):
+            t = chunk[j:i]
+            if t not in usable and i - j > 1:
+                continue
+            m = back[j - done]
+            if j:
+                if m is None:
+                    continue
+                left = chunk[j - m : j]
+                ok = pairs.get((left, t))
+                if not (self._fits(left, t) if ok is None else ok):
+                    continue
+            return i - j
+        return None
+
+    def _cheapest(self, chunk: str, i: int, done: int, back: list[int | None], cost: dict[int, float]) -> int | None:
+        """Unigram: the length of the last piece of the path of greatest score; the longest on ties."""
+        best = None
+        for n in range(min(self.longest, i - done), 0, -1):
+            t = chunk[i - n : i]
+            if back[i - n - done] is None or n > 1 and t not in self.usable:
+                continue
+            c = cost[i - n] + self.score.get(t, self.unknown)
+            if best is None or c > best[0]:
+                best = c, n
+        if best:
+            cost[i] = best[0]
+        return best and best[1]
+
+    def _ids(self, chunk: str) -> array:
+        out = array("i")
+        for p in self.path(chunk):
             i = self.id_of.get(p)
-            out += [i] if i is not None else [self.byte_id[b] for b in p.encode()]
-        return array("i", out).tobytes()
+            if i is not None:
+                out.append(i)
+            else:
+                out.extend([self.byte_id[b] for b in p.encode()])
+        return out
 
     # -- texts
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        chunks = self.split.findall(self.normal(text))
+        out = array("i")
         known = self.chunks
         if len(known) > REMEMBERED:
             known.clear()
-        parts = []
-        for chunk in chunks:
+        for m in self.split.finditer(self.normal(text) if text else ""):
+            chunk = m.group()
             ids = known.get(chunk)
             if ids is None:
                 ids = self._ids(chunk)
-                if len(chunk) <= 64:
+                if len(chunk) <= CACHED:
                     known[chunk] = ids
-            parts.append(ids)
-        return np.frombuffer(b"".join(parts), np.int32)
+            out += ids
+        return np.frombuffer(out, np.int32) if out else np.zeros(0, np.int32)
 
     def decode(self, ids) -> str:
-        out = bytearray()
-        for i in ids:
-            out += bytes([int(self.piece[i][3:-1], 16)]) if self.is_byte[i] else self.piece[i].encode()
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
+        raw = self.raw
+        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -269,7 +255,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
                 i += 256
                 texts = batch.column("text").to_pylist()
                 ids = [enc.encode(t) for t in texts]
-                same = [enc.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
+                same = [enc.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
                 size = np.array([len(x) for x in ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(size), pa.array(same)], [*batch.schema.names, *names])
