@@ -21,6 +21,17 @@ _INV = pow(_MULT, -1, 1 << 64)
 BLOCK_BYTES = 1 << 20
 
 
+def fresh(df, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``df`` has it (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def byte_class(*keep: int) -> np.ndarray:
     """A table over the 256 byte values: True where the value is in ``keep``."""
     out = np.zeros(256, bool)

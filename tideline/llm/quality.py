@@ -5,7 +5,7 @@ digits and non-ASCII, A-Z lowered; other lines don't count). A line's frequency
 number of documents of its host (``source``) that hold it; exact copies all count. A
 document is a different doc_id of a text, each row where doc_id is null. Lines in more
 than ``MIN_TEXTS`` documents are removed, whatever the size of the host, and
-a document is depleted if more than ``DEPLETED`` of its line characters go. Rows are first
+a document is depleted if more than ``DEPLETED`` (half) of its line characters go. Rows are first
 reduced to one a text and host that carries its documents, then summed with partial sums, so a
 line that a third of all texts share is no hot key; the join back is split by the adaptive skew join.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tideline.llm import kernel as K
 from tideline.plans.scratch import stored
 
-MIN_TEXTS, DEPLETED = 20, 0.7
+MIN_TEXTS, DEPLETED = 20, 0.5
 _SYMBOL = K.byte_class(*b"#*$%&|<>")
 _NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -139,10 +139,10 @@ def judge(docs: DataFrame, host: str = "source", min_texts: int = MIN_TEXTS, dep
     return out.select("doc_id", *_NAMES, "base_failed", (~F.col("base_failed") & (F.col("removed_share") <= depleted)).alias("kept"), "removed_share")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], removed_lines: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        gone = batch.column("removed_lines").to_pylist()
+        gone = batch.column(removed_lines).to_pylist()
         texts = batch.column(at).to_pylist()
         for i, lines in enumerate(gone):
             if lines:
@@ -157,11 +157,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cleaned(docs: DataFrame, host: str = "source", min_texts: int = MIN_TEXTS) -> DataFrame:
     """``docs``, all columns, the text without the lines above the limit."""
+    h, t, lines = K.fresh(docs, "host", "text_hash", "removed_lines")
     gone = removed(stored(measured(docs, host), "quality"), min_texts)
-    gone = gone.select(F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), "removed_lines")
-    keyed = docs.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    out = keyed.join(gone, ["_host", "_hash"], "left").select(*docs.columns, "removed_lines")
-    return out.mapInArrow(_cut, out.schema).select(*docs.columns)
+    gone = gone.select(F.col("host").alias(h), F.col("text_hash").alias(t), F.col("removed_lines").alias(lines))
+    keyed = docs.withColumn(h, F.coalesce(F.col(host).cast("string"), F.lit(""))).withColumn(t, F.xxhash64(F.col("text").cast("string")))
+    out = keyed.join(gone, [h, t], "left").select(*docs.columns, lines)
+    return out.mapInArrow(lambda it: _cut(it, lines), out.schema).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
