@@ -158,6 +158,63 @@ def test_kneser_ney_sums_to_one():
     assert 0.9 < total <= 1.0001
 
 
+def brute_kneser_ney(texts):
+    """Probability of a character after its context, by plain dictionaries of strings."""
+    grams = collections.Counter()
+    for t in texts:
+        padded = "\0\0 " + " ".join(re.findall(r"[a-zéñ]+", t.lower())) + " "
+        grams.update(padded[i : i + 4] for i in range(len(padded) - 3))
+    counts = {4: dict(grams)}
+    for k in (3, 2, 1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+
+    def prob(gram):
+        p = 1 / (len(counts[1]) + 1)
+        for k in range(1, 5):
+            c, g = counts[k], gram[4 - k :]
+            n1, n2 = (sum(v == x for v in c.values()) for x in (1, 2))
+            d = min(max(n1 / (n1 + 2 * n2) if n1 + n2 else 0.5, 0.1), 0.9)
+            same = [v for x, v in c.items() if x[:-1] == g[:-1]]
+            p = max(c.get(g, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * p if same else p
+        return p
+
+    return prob
+
+
+def test_kneser_ney_against_brute_force():
+    texts = ["".join(RNG.choice("abcé ") for _ in range(60)) for _ in range(6)]
+    g, n = np.unique(np.concatenate([langid._fourgrams(langid._codes(t)) for t in texts]), return_counts=True)
+    tables, floor = langid.kneser_ney(g, n)
+    m, prob = langid.Model(["x"], [tables], [floor]), brute_kneser_ney(texts)
+    asked = "aé cab zé bca ab"
+    padded = "\0\0 " + asked + " "
+    want = [-math.log(prob(padded[i : i + 4])) for i in range(len(padded) - 3)]
+    assert m.costs(langid._fourgrams(langid._codes(asked)))[:, 0] == pytest.approx(want, rel=1e-5)
+    ent, _ = langid.Scorer(m).entropies([asked])
+    assert ent[0, 0] == pytest.approx(sum(want) / len(want), rel=1e-5)
+
+
+def test_language_id_letters_ties_and_odd_columns(spark):
+    rows = [(i, "one two three four", k) for i in range(30) for k in ("zz", "aa")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(1, "½ ²³ Ⅷ _ 12", "keep", 3), (2, "two one", "keep", 3)], "doc_id long, text string, Node string, score int")
+    got = {r.doc_id: r for r in langid.identify(asked, model).collect()}
+    assert (got[1].lang_pred, got[1].score, got[1].rejected) == ("und", 0.0, True)
+    assert (got[2].lang_pred, got[2].Node) == ("aa", "keep") and 0 <= got[2].score <= 1
+    assert all(langid._LETTERS.fullmatch(c) for c in "aéßЖ漢ªʰ") and not any(langid._LETTERS.search(c) for c in "½²Ⅷ٣_-")
+
+
+@pytest.mark.parametrize("rows", [6, 60, 600])
+def test_language_id_rejects_at_every_size(spark, rows):
+    rng = random.Random(rows)
+    say = lambda n: " ".join("".join(rng.choices(["tho", "ing", "er", "wha"], k=2)) for _ in range(n))
+    model = langid.train(spark.createDataFrame([(i, say(60), "aa") for i in range(rows)], "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(i, say(60)) for i in range(50)] + [(99, "zxq kjw vvbn qqx " * 40)], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(asked, model).collect()}
+    odd = got.pop(99)
+    assert odd.rejected and odd.score < 0.01 and not any(r.rejected for r in got.values())
+
+
 def test_pii(spark, empty):
     a, b = "mail jo.81@mail7.example.com, +1 (407) 555-7710.", "JO.81@MAIL7.EXAMPLE.COM and 152.143.123.131 4785380592391139 Mrs. Anna Keller"
     rows = [(1, a, 1.0), (2, b, 2.0), (2, b, 2.0), (3, None, None), (4, "", 0.0), (5, "clean words", 1.0), (6, 'token = "' + "a1" * 20 + '"', 1.0)]

@@ -10,11 +10,20 @@ interpolated with the next by the absolute discount of Kneser and Ney, down to u
 Model. For each language and order two sorted hash arrays: n-gram to discounted
 probability, context to back-off weight. Their size is bounded by the training bound.
 
-Prediction. The language of least cross-entropy per character. ``score`` is a logistic
-function of its lead over the second, with a slope fitted on the calibration rows.
-``rejected``: no letter, or an entropy over the calibrated limit of the language found:
-the calibration rows' mean plus ``REJECT_SD`` deviations, never under their maximum, and
-``SHORT_NATS`` more over the whole text, since few characters say little.
+Prediction. The language of least cross-entropy per character (length-normalised).
+
+Calibrated rejection. A text's excess is its entropy less the calibration mean of the
+language found, in deviations that shrink with the text's length: the variance is
+v0 + v1 / length, fitted on the rightly predicted calibration rows of all languages together
+(a language without any has the mean of all). The limit is the excess that a share of
+``REJECT_RATE`` of right rows passes: beyond the ``TAIL`` quantile the excess is taken as
+exponential with the mean found there, so the limit is defined for any number of rows.
+``rejected``: no letter, an excess over the limit, or an entropy no better than the model's
+uniform floor. With no right calibration row only the floor rejects.
+
+``score`` is a logistic function of the lead over the second language, its slope fitted on the
+calibration rows with one pseudo-row right and one wrong (so it is finite), times the
+share of right rows that have so large an excess, over ``REJECT_RATE``, where it is rejected.
 
 Defined results. Null text or no letter: ``und``, score 0, rejected. Ties go to the first
 language in order of name. Languages that no training row has are never predicted; with no
@@ -26,6 +35,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,10 +48,13 @@ from tideline.llm import kernel as K
 
 ORDER = 4
 TRAIN_CHARS = 4_000_000
-REJECT_SD = 8.0
-SHORT_NATS = 20.0
+#: Characters of all languages together, and languages, that one model is fitted on and for.
+TRAIN_ALL, MAX_LANGS = 48_000_000, 4096
+REJECT_RATE, TAIL = 1e-4, 0.1
 _SLOTS = 1 << 20
-_LETTERS = re.compile(r"[^\W\d_]+")
+# Letters are the characters of Unicode's categories L*; digits and number signs (Nd, Nl, No) are not.
+_NUMERALS = "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha())
+_LETTERS = re.compile(rf"[^\W_{_NUMERALS}]+")
 
 
 def _codes(text: str | None) -> np.ndarray:
@@ -70,7 +83,39 @@ class Model:
     tables: list[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
     floor: list[float]
     slope: float = 1.0
-    limits: tuple[float, ...] = ()
+    means: tuple[float, ...] = ()
+    variance: tuple[float, float] = (0.0, 0.0)
+    tail: tuple[float, float] = (math.inf, 1.0)
+
+    def excess(self, ent: np.ndarray, lens: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Deviations of entropies over the mean of the language found."""
+        if not self.means:
+            return np.zeros(len(ent))
+        return (ent - np.array(self.means)[best]) / np.sqrt(self.variance[0] + self.variance[1] / np.maximum(lens, 1))
+
+    def limit(self) -> float:
+        """The excess that ``REJECT_RATE`` of right rows pass."""
+        return self.tail[0] + self.tail[1] * math.log(TAIL / REJECT_RATE)
+
+    def calibrate(self, lang: np.ndarray, ent: np.ndarray, lens: np.ndarray) -> None:
+        """Fits means, variance and tail on right rows: index of the language, entropy, length."""
+        if not len(ent):
+            return
+        n, total = np.bincount(lang, minlength=len(self.langs)), np.bincount(lang, ent, minlength=len(self.langs))
+        self.means = tuple(np.where(n > 0, total / np.maximum(n, 1), ent.mean()))
+        square = (ent - np.array(self.means)[lang]) ** 2
+        inverse = 1 / np.maximum(lens, 1)
+        # Least squares of square = v0 + v1 / length with neither negative.
+        spread = ((inverse - inverse.mean()) ** 2).sum()
+        v1 = max(0.0, float(((inverse - inverse.mean()) * (square - square.mean())).sum() / spread)) if spread > 1e-18 else 0.0
+        v0 = float(square.mean() - v1 * inverse.mean())
+        if v0 < 0:
+            v0, v1 = 0.0, float((square * inverse).sum() / (inverse**2).sum())
+        self.variance = (max(v0, 1e-6), v1)
+        z = self.excess(ent, lens, lang)
+        start = float(np.quantile(z, 1 - TAIL))
+        over = z[z >= start] - start
+        self.tail = (start, max(float(over.mean()), 0.1))
 
     def costs(self, grams: np.ndarray) -> np.ndarray:
         """Minus the natural logarithm of each 4-gram's probability, a column for each language."""
@@ -192,8 +237,11 @@ def train(labelled: DataFrame, chars: int = TRAIN_CHARS) -> Model:
     """A model of the non-null ``lang`` of ``labelled`` (doc_id, text, lang)."""
     spark = labelled.sparkSession
     rows = labelled.where("text is not null and lang is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
-    sums = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(F.length("text"))).collect()}
+    sums = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(F.length("text"))).limit(MAX_LANGS + 1).collect()}
+    if len(sums) > MAX_LANGS:
+        raise ValueError(f"lang has more than {MAX_LANGS} values")
     langs = sorted(k for k, v in sums.items() if v)
+    chars = min(chars, TRAIN_ALL // max(1, len(langs)))
     if not langs:
         return Model([], [], [])
     rate = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, chars / sums[k]))))
@@ -213,30 +261,27 @@ def train(labelled: DataFrame, chars: int = TRAIN_CHARS) -> Model:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
-            ent, _ = scorer.entropies(b.column(1).to_pylist())
+            ent, lens = scorer.entropies(b.column(1).to_pylist())
             best, low, lead = _lead(ent)
             ok = np.isfinite(low)
             lang = np.array(b.column(0).to_pylist(), object)
             right = np.array(shared.value.langs, object)[best] == lang
-            yield pa.RecordBatch.from_arrays([pa.array(lang[ok], pa.string()), pa.array(right[ok]), pa.array(low[ok]), pa.array(np.where(np.isfinite(lead), lead, 1.0)[ok])], ["lang", "right", "low", "lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(lang[ok], pa.string()), pa.array(right[ok]), pa.array(low[ok]), pa.array(np.where(np.isfinite(lead), lead, 1.0)[ok]), pa.array(lens[ok])], ["lang", "right", "low", "lead", "size"])
 
-    seen = picked.where("place >= 0.8").select("lang", "text").mapInArrow(check, "lang string, right boolean, low double, lead double").toPandas()
+    seen = picked.where("place >= 0.8").select("lang", "text").mapInArrow(check, "lang string, right boolean, low double, lead double, size long").toPandas()
     model.slope = _slope(seen.lead.to_numpy(float), seen.right.to_numpy(bool))
-    limits = []
-    for k in langs:
-        low = seen.low[(seen.lang == k) & seen.right].to_numpy(float)
-        limits.append(max(low.mean() + REJECT_SD * low.std(), low.max()) if len(low) > 20 else math.inf)
-    model.limits = tuple(limits)
+    right = seen[seen.right]
+    model.calibrate(np.searchsorted(np.array(langs, object), right.lang.to_numpy(object)), right.low.to_numpy(float), right["size"].to_numpy(float))
     return model
 
 
 def _slope(lead: np.ndarray, right: np.ndarray) -> float:
-    """The slope, from 0.5 to 50, under which leads explain right and wrong best."""
-    tries = np.geomspace(0.5, 50, 60)
-    if not len(lead):
-        return 1.0
+    """The slope under which leads explain right and wrong best; a right and a wrong row of the mean lead are added."""
+    tries = np.geomspace(0.01, 10_000, 240)
+    lead = np.append(lead, [lead.mean() if len(lead) else 1.0] * 2)
+    right = np.append(right, [True, False])
     z = tries[:, None] * lead[None, :]
-    loss = np.where(right, np.logaddexp(0, -z), np.logaddexp(0, z)).mean(axis=1)
+    loss = np.where(right, np.logaddexp(0, -z), np.logaddexp(0, z)).sum(axis=1)
     return float(tries[int(np.argmin(loss))])
 
 
@@ -260,9 +305,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 best, ent, lead = _lead(every)
                 ok = np.isfinite(ent)
                 lang[ok] = np.array(m.langs, object)[best[ok]]
-                score[ok] = 1 / (1 + np.exp(-m.slope * np.minimum(lead[ok], 50)))
+                over = m.excess(ent[ok], lens[ok], best[ok]) - m.limit()
+                score[ok] = np.exp(-np.maximum(over, 0) / m.tail[1]) / (1 + np.exp(-np.minimum(m.slope * lead[ok], 700)))
                 low[ok] = ent[ok]
-                bad[ok] = ent[ok] > np.array(m.limits)[best[ok]] + SHORT_NATS / lens[ok]
+                bad[ok] = (over > 0) | (ent[ok] >= -np.log(np.array(m.floor))[best[ok]])
             cols = [*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(low, mask=np.isnan(low)), pa.array(bad)]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, *names])
 
