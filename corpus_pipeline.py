@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, surrogates for personal data; n_chars counts the new text."""
-    out = pii.replace(docs).drop("n_entities")
+    out = pii.replace(docs, pii.session_key(spark), count=None)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
