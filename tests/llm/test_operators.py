@@ -100,6 +100,37 @@ def test_near_duplicates_of_a_large_family(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: top(i) for i in range(len(rows))}
 
 
+def test_near_duplicates_of_namesakes(spark):
+    one, other = prose(60), prose(60)
+    rows = [(1, one), (2, other), (2, near(one)), (3, near(other)), (3, prose(60)), (4, one)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, text_hash string, kept_id int")
+    got = collections.Counter((r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).collect())
+    assert got == collections.Counter([(1, 1), (2, 2), (2, 1), (3, 2), (3, 3), (4, 1)])
+    kept = neardup.deduplicated(docs)
+    assert kept.columns == docs.columns and {(r.doc_id, r.text) for r in kept.collect()} == {rows[0], rows[1], rows[4]}
+
+
+def test_near_duplicates_with_a_stray_and_no_cutoff(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SIDE", 16)
+    rng = random.Random(11)
+    base, rows = prose(120).split(), []
+    for i in range(150):
+        w = list(base)
+        w[rng.randrange(120)] = rng.choice(VOCAB)
+        rows.append((i, " ".join(w)))
+    w = list(base)  # shares buckets with the family, but is under the threshold
+    for k in range(0, 120, 15):
+        w[k] = "stray"
+    rows += [(900, " ".join(w)), (901, " ".join(w[:-1])), (902, prose(50))]
+    sets = {i: shingles(t) for i, t in rows}
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    assert not any(linked(i, 900) or linked(i, 901) for i in range(150)) and linked(900, 901)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {**{i: 0 for i in range(150)}, 900: 900, 901: 900, 902: 902}
+    for cutoff in (neardup.CUTOFF, 0.0):
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, cutoff=cutoff).collect()} == want
+
+
 def test_kernel_hashes_are_of_words():
     b = K.block_of(["Ab c", "", "c ab", None, "é"])
     s, e, rows = b.spans(K.SPACED)

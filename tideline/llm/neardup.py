@@ -11,18 +11,21 @@ candidate edges, exact confirmation on the full shingle sets.
 3. Nodes that share a band are a bucket. In the first ``LEAD`` bands each bucket is a
    star: its least node is paired with the others, n - 1 pairs for n nodes. Pairs are
    confirmed on the full sets, and links make components: a large group of near copies is
-   one component from here on.
+   one component from here on. The leaves of a star are dealt to tasks of about ``SIDE``, each
+   with a copy of the centre, so the centre of a large family is no hot key.
 4. A star can lose a link between two of its leaves, so every bucket of every band that
-   still holds two components is searched in full, but in tasks of at most 2 * SIDE nodes
-   (a bucket of m nodes is cut into m / SIDE sides and each pair of sides is a task of
-   its own): nodes of different components are compared by their sketches, one byte a
-   bin. Nodes with a partner whose estimate reaches ``CUTOFF`` get their texts, and the
-   same task compares the full sets of just these pairs. Only links leave it, so no link
-   within a bucket is lost to the stars, and no group's pairs are written out.
+   still holds two components is searched in full. Its largest component needs no
+   comparison with itself: only the s other nodes are held against all m, in tasks of at most
+   2 * SIDE nodes, so a bucket costs m * s / SIDE rows and one stray in a large family costs
+   m. Nodes of different components are compared by their sketches, one byte a bin. Nodes
+   with a partner whose estimate reaches ``cutoff`` get their texts, and the same task compares
+   the full sets of just these pairs. Only links leave it, so no link within a bucket is lost to
+   the stars, and no group's pairs are written out.
 
 A pair at the threshold shares no bucket with chance (1 - t**rows)**bands: 1.7e-5 at
 t = 0.75 with 56 bands of 6, under 1e-6 from 0.79 on. The estimate of such a pair has a
-deviation of 0.024 and so lies 5 of them over the cutoff.
+deviation of 0.024 and so lies 5 of them over ``CUTOFF``; ``cutoff=0`` compares every two nodes
+that share a bucket on their full sets.
 
 Defined results. Null or blank text: no shingles, component of its own. Fewer words
 than five: the whole sequence is the one shingle. Null doc_id: no part in linking,
@@ -33,7 +36,6 @@ ignored. An empty table gives an empty result. Hashes have 64 bits.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -99,7 +101,7 @@ def minima(sets: list[np.ndarray], bins: int) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch], bands: int, rows: int, words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, block in K.blocks(batch.column(1)):
+        for part, block in K.blocks(batch.column(2)):
             sets = shingle_sets(block, words)
             n = np.array([len(x) for x in sets], np.int64)
             some = np.flatnonzero(n)
@@ -117,56 +119,54 @@ def _sketches(batches: Iterator[pa.RecordBatch], bands: int, rows: int, words: i
                 keys[some] = K.mix(acc + np.arange(bands, dtype=K.U), 9)
             size = np.where(n > 0, bands, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(keys[some].reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(n), pa.array(node.view(np.int64)), lists, pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "n_shingles", "node", "bands", "bins"])
+            yield pa.RecordBatch.from_arrays([*(c[part.start : part.stop] for c in batch.columns[:2]), pa.array(n), pa.array(node.view(np.int64)), lists, pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "text_hash", "n_shingles", "node", "bands", "bins"])
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, node, bands, bins): the set's size and hash, its band keys, and
+    """(doc_id, text_hash, n_shingles, node, bands, bins): the set's size and hash, its band keys, and
     the low byte of each bin's value."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _sketches(it, bands, rows, words), "doc_id long, n_shingles long, node long, bands array<long>, bins binary")
+    return _rows(docs).mapInArrow(lambda it: _sketches(it, bands, rows, words), "doc_id long, text_hash long, n_shingles long, node long, bands array<long>, bins binary")
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Keeps (a, b) whose texts' full sets reach the threshold."""
-    last: tuple = (None, None)
+    """Rows in order of (center, chunk), the centre's own first, to the links (u, v) of a centre and its
+    leaves. Only the centre's set is held; texts are read block by block."""
+    center, own = None, np.zeros(0, K.U)
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = []
-        for (pa_, blk_a), (_, blk_b) in zip(_each(batch.column(2)), _each(batch.column(3)), strict=True):
-            x, y = shingle_sets(blk_a, words)[0] if last[0] != (key := (a[pa_], hash(blk_a.buf.tobytes()))) else last[1], shingle_sets(blk_b, words)[0]
-            last = (key, x)
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            if len(x) and 100 * both >= percent * (len(x) + len(y) - both):
-                keep.append(pa_)
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["u", "v"])
-
-
-def _each(col: pa.Array) -> Iterator[tuple[int, K.Block]]:
-    for part, block in K.blocks(col, 0):
-        yield part.start, block
-
-
-def _texts(docs: DataFrame, members: DataFrame, classes: DataFrame) -> str:
-    """A table of the text of each node of ``members``, bucketed by node: every later
-    round joins it where it lies. Gives the table's name."""
-    spark = docs.sparkSession
-    need = members.select("node").distinct().join(classes.select("node", "rep"), "node")
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
-    name = f"neardup_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.join(need, "rep").select("node", "text")
-    found.repartition(parts, "node").write.bucketBy(parts, "node").saveAsTable(name)
-    return name
-
-
-def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Links (u, v) among ``pairs`` (a, b) of nodes. A pair whose sizes alone rule it out
-    is dropped first; the rest gets both texts."""
-    a, b = (classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
-    left = sized.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    full = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(lambda it: _confirmed(it, words, percent), "u long, v long")
+        ids, nodes = batch.column("center").to_pylist(), batch.column("node").to_pylist()
+        u, v = [], []
+        for part, block in K.blocks(batch.column("text")):
+            for i, x in zip(range(part.start, part.stop), shingle_sets(block, words), strict=True):
+                if nodes[i] == ids[i]:
+                    center, own = ids[i], x
+                elif ids[i] == center:
+                    both = len(np.intersect1d(own, x, assume_unique=True))
+                    if len(x) and 100 * both >= percent * (len(own) + len(x) - both):
+                        u.append(ids[i])
+                        v.append(nodes[i])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _texts(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """A written table (node, text) of each node of ``members``, by the id and the text's hash of one of
+    its rows: rows that share a doc_id but not the text are told apart."""
+    need = members.select("node").distinct().join(classes.select("node", "rep.doc_id", "rep.text_hash"), "node")
+    found = _rows(docs).join(need, ["doc_id", "text_hash"]).groupBy("node").agg(F.first("text").alias("text"))
+    return stored(found, "texts")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Links (u, v) among ``pairs`` (center, node): a star's leaves in tasks of about SIDE."""
+    chunks = pairs.groupBy("center").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("chunks"))
+    leaves = pairs.join(chunks, "center").select("center", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), "node")
+    centers = chunks.select("center", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("center").alias("node"))
+    rows = leaves.union(centers).join(texts, "node").select("center", "chunk", (F.col("node") != F.col("center")).alias("leaf"), "node", "text")
+    rows = rows.repartition("center", "chunk").sortWithinPartitions("center", "chunk", "leaf")
+    return rows.mapInArrow(lambda it: _confirmed(it, words, percent), "u long, v long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -241,10 +241,14 @@ def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int, cutoff:
 def search(members: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT, cutoff: float = CUTOFF) -> DataFrame:
     """Links (u, v) within buckets between components, enough of them to join what belongs together."""
     now = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_ = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    dealt = now.join(open_.select("key", F.ceil(F.col("m") / SIDE).cast("int").alias("sides")), "key")
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node", "key"), "sides").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    sizes = now.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("most"))
+    # Chunks of the nodes outside the bucket's largest component come first, then the chunks of that.
+    less, most = F.ceil((F.col("m") - F.col("most.n")) / SIDE), F.ceil(F.col("most.n") / SIDE)
+    open_ = sizes.where("roots > 1").select("key", F.col("most.root").alias("main"), less.cast("int").alias("less"), most.cast("int").alias("most"))
+    dealt, mix = now.join(open_, "key"), F.xxhash64("node", "key")
+    minor = F.col("root") != F.col("main")
+    dealt = dealt.withColumn("side", F.when(minor, F.pmod(mix, "less")).otherwise(F.col("less") + F.pmod(mix, "most")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(minor, F.col("less") + F.col("most")).otherwise(F.col("less")) - 1)))
     dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "root")
     run = ["key", "i", "j"]
     full = dealt.join(classes.select("node", "n", "bins"), "node").select(*run, "side", "node", "root", "n", "bins")
@@ -254,32 +258,40 @@ def search(members: DataFrame, roots: DataFrame, classes: DataFrame, texts: Data
     return near.mapInArrow(lambda it: _linked(it, words, percent, cutoff), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, n_shingles, component_id, kept. See the module."""
-    spark = docs.sparkSession
+def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, percent: int = PERCENT, cutoff: float = CUTOFF) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash. See the module."""
     sk = stored(sketches(docs, bands, rows, words), "sketches")
     live = sk.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(live.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bins").alias("bins")), "classes")
-    banded = classes.select("node", F.posexplode("bands").alias("band", "key"))
-    stars = banded.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
-    members = stored(banded.join(stars, "key").select("key", "band", "node", "center"), "members")
-    table = _texts(docs, members, classes)
-    texts = spark.table(table)
-    first = members.where((F.col("node") != F.col("center")) & (F.col("band") < LEAD)).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    first = stored(first, "pairs")
-    links = stored(confirm(first, classes, texts, words, percent), "links")
+    classes = stored(live.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bins").alias("bins")), "classes")
+    banded = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    stars = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("size")).where("size > 1")
+    members = stored(banded.join(stars, "key").select("key", "band", "node", "n", F.col("least.node").alias("center"), F.col("least.n").alias("center_n")), "members")
+    texts = _texts(docs, members, classes)
+    # A pair whose sizes alone rule it out is dropped first.
+    sized = members.where((F.col("node") != F.col("center")) & (F.col("band") < LEAD)).where(f"100 * least(n, center_n) >= {percent} * greatest(n, center_n)")
+    first = stored(sized.select("center", "node").distinct(), "pairs")
+    links = stored(confirm(first, texts, words, percent), "links")
     roots = stored(components(links), "roots")
-    links = stored(search(members, roots, classes, texts, words, percent), "links")
+    links = stored(search(members, roots, classes, texts, words, percent, cutoff), "links")
     roots = stored(components(links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))), "roots")
-    spark.sql(f"drop table {table}")
-    named = classes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    drop(texts, members, first)
+    named = classes.select("node", "rep.doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = stored(named.join(lowest, "root").select("node", "component_id"), "component")
-    drop(members, first, classes)
-    out = sk.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
+    drop(classes)
+    out = sk.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(False)).alias("kept"), "text_hash")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that are kept; rows without doc_id stay. Rows that share
+    a doc_id are told apart by their text."""
+    h, d = K.fresh(docs, "text_hash", "kept_id")
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct()
+    keyed = docs.withColumn(d, F.col("doc_id").cast("long")).withColumn(h, F.xxhash64(F.col("text").cast("string")))
+    return keyed.join(kept, [d, h], "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
