@@ -345,16 +345,13 @@ def test_lm(spark, docs, empty):
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), len(w), n)
             assert r.base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w))
             assert r.score < 0
-    size = model.table.agg(F.sum(F.octet_length("segment"))).first()[0]
-    bounded = lm.train(docs, max_filter=size - 1)
-    assert bounded.min_pair > lm.MIN_PAIR and bounded.table.agg(F.sum(F.octet_length("segment"))).first()[0] < size
     assert lm.score(empty, model).count() == 0
     assert lm.score(docs, lm.train(empty)).where("train_tokens <> 0 or n_known <> 0").count() == 0
 
 
 def test_lm_holds_all_pairs_of_a_filter_too_large_to_send(docs):
     sent, spread = lm.train(docs), lm.train(docs, max_sent=0)
-    assert spread.filter.spread and not sent.filter.spread and spread.min_pair == sent.min_pair == 1
+    assert spread.filter.spread and not sent.filter.spread
     assert spread.filter.weights.tolist() == sent.filter.weights.tolist()
     levels = [collections.Counter((r.doc_id, bytes(r.words), bytes(r.pairs)) for r in lm.levelled(docs, m).collect()) for m in (sent, spread)]
     assert levels[0] == levels[1]
@@ -385,6 +382,31 @@ def test_lm_weights_are_of_all_training_texts(docs, monkeypatch):
     assert f.weights.any() and f.weights == pytest.approx(lm.WEIGHTS[gain.argmax(axis=1)])
 
 
+def test_lm_score_against_brute_force(docs):
+    model = lm.train(docs)
+    f, got = model.filter, collections.defaultdict(list)
+    for r in lm.score(docs, model).collect():
+        got[r.doc_id].append(r.score)
+    for i, t, *_rest in DOCS:
+        w, p, _ = lm.tokens(K.block_of([t]))
+        total, before = 0.0, int(f.levels(np.array([lm.END]))[0])
+        for x, y in zip(f.levels(w).tolist(), f.levels(p).tolist(), strict=True):
+            weight = f.weights[before]
+            total += math.log10(weight * min(lm.ESTIMATE[y] / max(lm.ESTIMATE[before], 1), 1) + (1 - weight) * (lm.ESTIMATE[x] + 1) / (f.n + f.v + 1))
+            before = x
+        assert any(s == pytest.approx(total) for s in got[i])
+
+
+def test_lm_tables_of_many_parts_in_few_tasks(docs, monkeypatch):
+    want = {(r.doc_id, r.n_tokens, round(r.score, 6)) for r in lm.score(docs, lm.train(docs)).collect()}
+    monkeypatch.setattr(lm, "PART_TOKENS", 40)
+    monkeypatch.setattr(lm, "MAX_TASKS", 3)
+    for sent in (lm.MAX_FILTER, 0):
+        model = lm.train(docs, max_sent=sent)
+        got = {(r.doc_id, r.n_tokens, r.n_known, r.base_score) for r in lm.score(docs, model).collect()}
+        assert model.filter.parts > 500 and len(got) >= len(want) - 1 and all(n == k for _, n, k, _ in got)
+
+
 def test_lm_query_is_train_and_score(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     rows = spark.read.parquet(f"{tmp_path}/documents.parquet")

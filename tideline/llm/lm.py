@@ -8,11 +8,11 @@ one entry of each task by then.
 Filter. A count c is held as the level 1 + floor(log c / log ``BASE``): the entries
 (n-gram, 1) to (n-gram, level) are put into the segment of its part, ``BITS`` bits an
 entry. A count is read by probing level after level until one is missing. All words and
-pairs are held, at every size. Up to ``MAX_FILTER`` bytes the filter is broadcast (as a file
-that an executor's workers map together). A larger one stays a table: the different n-grams
-of each ``BLOCK_TOKENS`` tokens of text are dealt to the parts, probed where the segments
-lie, and their levels go back to the texts. Both ways give the same levels. (Only a caller
-of ``train`` who asks for ``max_filter`` gets a smaller filter without the rarest pairs.)
+pairs are held, at every size. Up to ``MAX_FILTER`` bytes the filter is broadcast. A larger one
+stays a table: the different n-grams of each ``BLOCK_TOKENS`` tokens of text are dealt to the
+parts, probed where the segments lie, and their levels go back to the texts. Both ways give the
+same levels. Parts grow with the input so that one is always summed in bounded memory; a task
+takes several of them in turn past ``MAX_TASKS``.
 
 Probabilities. p(w | v) = l * c(v w) / c(v) + (1 - l) * p(w), with p(w) the base formula on
 the filter's counts and l depending on the level of c(v); the weights maximise the
@@ -34,22 +34,22 @@ from __future__ import annotations
 
 import copy
 import math
-import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import kernel as K
-from tideline.plans.scratch import drop, stored
+from tideline.plans.scratch import stored
 
-BASE, BITS, PROBES, MIN_PAIR = 1.5, 10, 6, 1
+BASE, BITS, PROBES = 1.5, 10, 6
 PART_TOKENS, BLOCK_TOKENS = 1_500_000, 1_500_000
-MAX_FILTER, MAX_WORDS = 256 << 20, 12_000_000
+MAX_FILTER, MAX_WORDS, MAX_TASKS = 128 << 20, 8_000_000, 1 << 16
 END = K.U(0x1234567DEADBEEF1)
 WEIGHTS = np.array([0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
 LEVELS = 64
@@ -94,6 +94,14 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> K.U(32)) * K.U(parts)) >> K.U(32)
 
 
+def _cuts(h: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """The parts that sorted hashes fall into, and where."""
+    part = _part(h, parts).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
+        yield int(part[lo]), slice(lo, hi)
+
+
 def _summed(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     if n is None:
         return np.unique(h, return_counts=True)
@@ -111,12 +119,10 @@ def _packed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     def out() -> Iterator[pa.RecordBatch]:
         for kind in (1, 2):
             h, n = _summed(np.concatenate(held[kind - 1]))
-            at = np.searchsorted(_part(h, parts), np.arange(parts + 1).astype(K.U))
-            some = [p for p in range(parts) if at[p] < at[p + 1]]
-            for i in range(0, len(some), 64):
-                own = some[i : i + 64]
-                cols = [[h[at[p] : at[p + 1]].tobytes() for p in own], [n[at[p] : at[p + 1]].astype(np.uint32).tobytes() for p in own]]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([kind] * len(own), pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["part", "kind", "hashes", "counts"])
+            n = n.astype(np.uint32)  # of one block of tokens
+            for own in batched(_cuts(h, parts), 64):
+                cols = [[x[at].tobytes() for _, at in own] for x in (h, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.int32()), pa.array([kind] * len(own), pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["part", "kind", "hashes", "counts"])
 
     for batch in batches:
         for _, block in K.blocks(batch.column(0)):
@@ -131,7 +137,7 @@ def _packed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
         yield from out()
 
 
-def _segments(batches: Iterator[pa.RecordBatch], min_pair: int) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed rows in order of part to one row a part: words, their counts, the filter's segment."""
     part, held = None, {1: [], 2: []}
 
@@ -142,8 +148,7 @@ def _segments(batches: Iterator[pa.RecordBatch], min_pair: int) -> Iterator[pa.R
             n = np.concatenate([np.frombuffer(y, np.uint32) for _, y in rows] or [np.zeros(0, np.uint32)])
             got[kind] = _summed(h, n.astype(np.int64))
         words, counts = got[1]
-        ph, pn = got[2][0][got[2][1] >= min_pair], got[2][1][got[2][1] >= min_pair]
-        h, q = np.concatenate([words, ph]), level(np.concatenate([counts, pn]))
+        h, q = np.concatenate([words, got[2][0]]), level(np.concatenate([counts, got[2][1]]))
         bits = max(64, -(-int(q.sum()) * BITS // 64) * 64)
         seg = np.zeros(bits, bool)
         for j in range(1, int(q.max()) + 1 if len(q) else 1):
@@ -170,18 +175,6 @@ def _places(h: np.ndarray, j: int, bits: np.ndarray | int) -> Iterator[np.ndarra
         yield ((a + K.U(i) * b) % bits).astype(np.int64)
 
 
-def _send(spark: SparkSession, a: np.ndarray) -> str:
-    folder = tempfile.mkdtemp(prefix="tideline-")
-    name = f"{uuid.uuid4().hex}.npy"
-    np.save(f"{folder}/{name}", a)
-    spark.sparkContext.addFile(f"{folder}/{name}")
-    return name
-
-
-def _mapped(name: str) -> np.ndarray:
-    return np.load(SparkFiles.get(name), mmap_mode="r")
-
-
 def _probed(h: np.ndarray, data: np.ndarray, begin: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """The level of each n-gram, by repeated membership probes of its segment in ``data``."""
     out, live = np.zeros(len(h), np.int64), np.arange(len(h))
@@ -205,25 +198,24 @@ class Filter:
         self.parts, self.n, self.v = parts, n, v
         self.spread = segments is None
         self.data = np.frombuffer(b"".join(segments or []), np.uint8)
-        self.file: str | None = None
+        self.shared = None
         size = np.array([len(x) for x in segments or []], np.int64)
         self.begin, self.bits = np.cumsum(size) - size, (size * 8).astype(K.U)
         self.weights = np.zeros(LEVELS + 1)
 
     def sent(self, spark: SparkSession) -> Filter:
-        """The same filter, its bits sent to every executor once as a file that workers map."""
+        """The same filter, its bits in a broadcast."""
         out = copy.copy(self)
         if not self.spread:
-            out.file, out.data = _send(spark, self.data), None
+            out.shared, out.data = spark.sparkContext.broadcast(self.data), None
         return out
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         if not self.n:
             return np.zeros(len(h), np.int64)
-        if self.data is None:
-            self.data = _mapped(self.file)
+        data = self.shared.value if self.shared is not None else self.data
         part = _part(h, self.parts).astype(np.int64)
-        return _probed(h, self.data, self.begin[part], self.bits[part])
+        return _probed(h, data, self.begin[part], self.bits[part])
 
 
 def _levels_of(f: Filter, h: np.ndarray) -> np.ndarray:
@@ -252,9 +244,9 @@ def _level_rows(ids: list[pa.Array], n: np.ndarray, known: np.ndarray, base: np.
     return pa.RecordBatch.from_arrays([*ids, pa.array(n), pa.array(known), pa.array(base), _binary(lw, n), _binary(lp, n)], ["doc_id", "text_hash", "n_tokens", "n_known", "base_score", "words", "pairs"])
 
 
-def _held(batches: Iterator[pa.RecordBatch], f: Filter, words: tuple | None) -> Iterator[pa.RecordBatch]:
+def _held(batches: Iterator[pa.RecordBatch], f: Filter, words: Broadcast | None) -> Iterator[pa.RecordBatch]:
     """Rows to the levels of their tokens and pairs, by the filter at hand."""
-    words = words and tuple(map(_mapped, words))
+    words = words and words.value
     for batch in batches:
         for part, block in K.blocks(batch.column(2)):
             w, p, n = tokens(block)
@@ -262,9 +254,9 @@ def _held(batches: Iterator[pa.RecordBatch], f: Filter, words: tuple | None) ->
             yield _level_rows(own, n, *_base(w, n, f, words), _levels_of(f, w), _levels_of(f, p))
 
 
-def _asked(batches: Iterator[pa.RecordBatch], f: Filter, words: tuple | None) -> Iterator[pa.RecordBatch]:
+def _asked(batches: Iterator[pa.RecordBatch], f: Filter, words: Broadcast | None) -> Iterator[pa.RecordBatch]:
     """Rows to blocks: one row (part -1) of the block's texts as places in its different words, and its different n-grams in order, a row for each part."""
-    words = words and tuple(map(_mapped, words))
+    words = words and words.value
     schema = pa.schema([("block", pa.string()), ("part", pa.int32()), ("data", pa.binary()), ("at", pa.binary()), *((c, pa.list_(pa.int64())) for c in ("doc_id", "text_hash", "n_tokens", "n_known")), ("base_score", pa.list_(pa.float64()))])
     held: list[tuple] = []
     size = 0
@@ -276,10 +268,8 @@ def _asked(batches: Iterator[pa.RecordBatch], f: Filter, words: tuple | None) ->
         ids = [[y for x in held for y in x[0][i].to_pylist()] for i in range(2)]
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (name, -1, uw.tobytes(), at.astype(np.int32).tobytes(), *ids, n.tolist(), known.tolist(), base.tolist()), strict=True))], schema)
         u = _ngrams(uw, w)[0]
-        cut = np.searchsorted(_part(u, f.parts), np.arange(f.parts + 1).astype(K.U))
-        some = [i for i in range(f.parts) if cut[i] < cut[i + 1]]
-        for i in range(0, len(some), 1024):
-            yield pa.RecordBatch.from_pylist([{"block": name, "part": k, "data": u[cut[k] : cut[k + 1]].tobytes()} for k in some[i : i + 1024]], schema)
+        for own in batched(_cuts(u, f.parts), 1024):
+            yield pa.RecordBatch.from_pylist([{"block": name, "part": k, "data": u[at].tobytes()} for k, at in own], schema)
 
     for batch in batches:
         for part, block in K.blocks(batch.column(2)):
@@ -343,19 +333,23 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("text_hash"), F.col("text").cast("string"))
 
 
+def _tasks(parts: int) -> int:
+    return min(parts, MAX_TASKS)
+
+
 def levelled(docs: DataFrame, model: Model, max_words: int = MAX_WORDS) -> DataFrame:
     """A row for each row of ``docs``: the filter's levels of its tokens and of their pairs, a
     byte each; n_known and base_score are 0 past ``max_words`` words."""
     spark, rows = docs.sparkSession, _rows(docs)
     f = model.filter.sent(spark)
-    words = tuple(_send(spark, a) for a in _words(model)) if f.v <= max_words else None
+    words = spark.sparkContext.broadcast(_words(model)) if f.v <= max_words else None
     if not f.spread:
         return rows.mapInArrow(lambda it: _held(it, f, words), LEVELLED)
     asked = stored(rows.mapInArrow(lambda it: _asked(it, f, words), ASKED), "asked")
     both = asked.where("part >= 0").select("part", "block", "data").union(model.table.select("part", F.lit(None).cast("string"), "segment"))
-    answers = both.repartition(f.parts, "part").sortWithinPartitions("part", "block").mapInArrow(_answered, "block string, part int, data binary")
+    answers = both.repartition(_tasks(f.parts), "part").sortWithinPartitions("part", "block").mapInArrow(_answered, "block string, part int, data binary")
     back = asked.where("part < 0").unionByName(answers, allowMissingColumns=True)
-    return back.repartition(f.parts, "block").sortWithinPartitions("block", "part").mapInArrow(_returned, LEVELLED)
+    return back.repartition(_tasks(f.parts), "block").sortWithinPartitions("block", "part").mapInArrow(_returned, LEVELLED)
 
 
 def _places_of(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -376,14 +370,13 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
 
-def fitted(levels: DataFrame, f: Filter, min_pair: int) -> np.ndarray:
+def fitted(levels: DataFrame, f: Filter) -> np.ndarray:
     """The weight of each level of the word before that makes ``levels`` likeliest, each place left out."""
     got = sorted(map(tuple, levels.mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect()))
     cell, n = np.array(got, np.int64).reshape(-1, 2).T
     before, lw, lp = cell // (LEVELS + 1) ** 2, cell // (LEVELS + 1) % (LEVELS + 1), cell % (LEVELS + 1)
     low = (np.maximum(ESTIMATE[lw] - 1, 0) + 1) / (f.n + f.v + 1)
-    c = np.where(ESTIMATE[lp] - 1 >= min_pair, ESTIMATE[lp] - 1, 0)
-    high = np.minimum(c / np.maximum(ESTIMATE[before] - 1, 1), 1)
+    high = np.minimum(np.maximum(ESTIMATE[lp] - 1, 0) / np.maximum(ESTIMATE[before] - 1, 1), 1)
     gain = np.zeros((LEVELS + 1, len(WEIGHTS)))
     np.add.at(gain, before, n[:, None] * np.log(WEIGHTS[None, :] * high[:, None] + (1 - WEIGHTS[None, :]) * low[:, None]))
     return WEIGHTS[gain.argmax(axis=1)]
@@ -392,49 +385,42 @@ def fitted(levels: DataFrame, f: Filter, min_pair: int) -> np.ndarray:
 class Model:
     """What scoring needs: ``table`` of the parts in the shared folder, the filter, N and V."""
 
-    def __init__(self, table: DataFrame, filter_: Filter, min_pair: int):
-        self.table, self.filter, self.min_pair = table, filter_, min_pair
+    def __init__(self, table: DataFrame, filter_: Filter):
+        self.table, self.filter = table, filter_
 
 
-def count(docs: DataFrame, max_filter: int | None = None, max_sent: int = MAX_FILTER) -> Model:
+def count(docs: DataFrame, max_sent: int = MAX_FILTER) -> Model:
     """The counts of the ``text`` of all rows of ``docs``; all weights are 0. The filter is sent up to ``max_sent`` bytes."""
     texts = docs.select(F.col("text").cast("string"))
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = min(65_536, max(8, math.ceil(chars / 5 / PART_TOKENS)))
+    parts = max(8, math.ceil(chars / 5 / PART_TOKENS))
     packed = texts.mapInArrow(lambda it: _packed(it, parts), "part int, kind int, hashes binary, counts binary")
-    min_pair = MIN_PAIR
-    while True:
-        least = min_pair
-        made = packed.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(lambda it: _segments(it, least), "part int, n long, words binary, counts binary, segment binary")
-        table = stored(made, "segments")
-        size, n, v = table.agg(F.sum(F.octet_length("segment")), F.sum("n"), F.sum(F.octet_length("words") / 8)).first()
-        if max_filter is None or (size or 0) <= max_filter or min_pair > (n or 0):  # then no pair is left to leave out
-            break
-        drop(table)
-        min_pair *= 2
+    made = packed.repartition(_tasks(parts), "part").sortWithinPartitions("part", "kind").mapInArrow(_segments, "part int, n long, words binary, counts binary, segment binary")
+    table = stored(made, "segments")
+    size, n, v = table.agg(F.sum(F.octet_length("segment")), F.sum("n"), F.sum(F.octet_length("words") / 8)).first()
     segments = None
     if not n or size <= max_sent:
         segments = [bytes(8)] * parts
         for p, seg in table.select("part", "segment").toLocalIterator():
             segments[p] = bytes(seg)
-    return Model(table, Filter(segments, parts, int(n or 0), int(v or 0)), min_pair)
+    return Model(table, Filter(segments, parts, int(n or 0), int(v or 0)))
 
 
-def train(docs: DataFrame, max_filter: int | None = None, max_sent: int = MAX_FILTER) -> Model:
+def train(docs: DataFrame, max_sent: int = MAX_FILTER) -> Model:
     """A model of the ``text`` of all rows of ``docs``."""
-    model = count(docs, max_filter, max_sent)
+    model = count(docs, max_sent)
     if model.filter.n:
-        model.filter.weights = fitted(levelled(docs, model, -1), model.filter, model.min_pair)
+        model.filter.weights = fitted(levelled(docs, model, -1), model.filter)
     return model
 
 
 def _words(model: Model) -> tuple[np.ndarray, np.ndarray]:
     """All words' hashes in order, and their counts; parts are ranges of the hash."""
-    h, n = np.zeros(model.filter.v, K.U), np.zeros(model.filter.v, np.uint32)
+    h, n = np.zeros(model.filter.v, K.U), np.zeros(model.filter.v, np.int64)
     at = 0
     for w, c in model.table.orderBy("part").select("words", "counts").toLocalIterator():
         k = len(w) // 8
-        h[at : at + k], n[at : at + k] = np.frombuffer(w, K.U), np.minimum(np.frombuffer(c, np.int64), 0xFFFFFFFF)
+        h[at : at + k], n[at : at + k] = np.frombuffer(w, K.U), np.frombuffer(c, np.int64)
         at += k
     return h, n
 
@@ -501,6 +487,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = count(docs.where(~held_out()))
     levels = stored(levelled(docs, model), "levels")
-    model.filter.weights = fitted(levels.where(~held_out()), model.filter, model.min_pair)
+    model.filter.weights = fitted(levels.where(~held_out()), model.filter)
     got = _scored(levels, docs, model)
     return got.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
