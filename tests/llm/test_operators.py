@@ -320,11 +320,31 @@ def test_token_ids(spark, docs, empty, tmp_path):
     shards = tokenids.write(docs, path)
     got = sorted(tokenids.read(spark, path, shards).collect(), key=lambda r: r.start)
     start = 0
-    for r, (i, text, *_) in zip(got, sorted(DOCS, key=lambda d: (d[0] is not None, d[0], d[1] or "")), strict=True):
+    for r, (i, text, *_) in zip(got, sorted(DOCS, key=lambda d: (d[0] is not None, d[0])), strict=True):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert tokenids.read(spark, path, tokenids.write(empty, f"file://{tmp_path}/none")).count() == 0
+    for asked in (None, 0, 3, 20, 999):
+        want = sorted([*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x, *_ in DOCS if i == asked)
+        assert sorted(x.tolist() for x in tokenids.lookup(path, shards, asked)) == want
+
+
+def test_token_ids_of_a_frequent_id_are_in_many_shards(spark, tmp_path):
+    rows = [(None if i % 2 else 7, f"text {i} of one id") for i in range(400)] + [(8, "last")]
+    path = f"file://{tmp_path}/hot"
+    shards = tokenids.write(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    assert max(x[1] for x in shards) < 200 and len(tokenids.lookup(path, shards, 7)) == len(tokenids.lookup(path, shards, None)) == 200
+    got = tokenids.read(spark, path, shards).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 200 + [7] * 200 + [8]
+
+
+def test_keys_that_meet_take_another_seed():
+    ids, null, ordinal = np.arange(50), np.zeros(50, bool), np.zeros(50, np.int64)
+    meets = lambda d, n, o, seed: tokenids.keys_of(d // 2 if seed == 1000 else d, n, o, seed)
+    assert tokenids.seeded(ids, null, ordinal, meets)[0] == 1001
+    with pytest.raises(ValueError):
+        tokenids.seeded(ids // 2, null, ordinal)
 
 
 def test_perfect_hash():

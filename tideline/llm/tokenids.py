@@ -1,17 +1,20 @@
 """Token ids in binary shards with a minimal perfect hash index (operator 4).
 
-Writing. Rows are range-partitioned and sorted by doc_id; each partition encodes its texts,
+Writing. Rows are range-partitioned and sorted by doc_id (rows of one doc_id by the hash of their
+text, so a frequent or null id is no hot shard); each partition encodes its texts,
 appends the end id and writes one shard: ``NNNNN.ids``, the raw little-endian ids of its
 documents on end (unsigned, 16 bits where the vocabulary allows, else 32), and
 ``NNNNN.idx``, its index. A file is written under a name of its own attempt and then moved,
 so a lost executor or a second attempt leaves the same files. The driver gets one row a
-shard (documents, ids) and turns the sums into each shard's start.
+shard (documents, ids, first and last doc_id) and turns the sums into each shard's start.
 
-Index. A key is a document's id and its ordinal among equal ids. The keys are put into a
+Index. A key is a document's id and its ordinal among equal ids of its shard. The keys are put into a
 minimal perfect hash: level after level, keys alone on their bit stay, the others go on;
 a key's slot is the number of bits before its own. A slot holds the key's 32-bit
 fingerprint, the offset and the number of ids, so one document is found by a few bit
-probes and one read, and an absent key is refused but for one in 2**32.
+probes and one read, and an absent key is refused but for one in 2**32. ``lookup`` finds the
+shards of an id by their first and last ids. Should two keys of a shard have one hash, the next
+seed is taken.
 
 Encoding. For a tokenizer that lowers, drops white space and splits letters from marks
 (checked in its file) ids of a text are the ids of its units one after another; a block's
@@ -19,14 +22,15 @@ different units are encoded once. Texts with the string of an added token, and o
 tokenizers, are encoded whole by the library.
 
 Defined results. Null or empty text: the end id alone. Null doc_id: a key of its own,
-before all others. Repeated rows: each is written, in the order of their texts. Further
-columns are ignored; an empty table gives no shard and an empty result.
+before all others. Repeated rows: each is written, those of one id in the order of their texts'
+hashes. Further columns are ignored; an empty table gives no shard and an empty result.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,9 +160,18 @@ class PerfectHash:
 _NULL = 0x6E756C6C
 
 
-def keys_of(doc_ids: np.ndarray, null: np.ndarray, ordinal: np.ndarray) -> np.ndarray:
+def keys_of(doc_ids: np.ndarray, null: np.ndarray, ordinal: np.ndarray, seed: int = 0) -> np.ndarray:
     """The 64-bit key of a document: different (doc_id, ordinal) have different keys but for chance."""
-    return K.mix(K.mix(np.where(null, _NULL, doc_ids).astype(np.int64).view(K.U) ^ null.astype(K.U) << K.U(63), 31) + ordinal.astype(K.U), 32)
+    return K.mix(K.mix(np.where(null, _NULL, doc_ids).astype(np.int64).view(K.U) ^ null.astype(K.U) << K.U(63), 31 + 2 * seed) + ordinal.astype(K.U), 32 + 2 * seed)
+
+
+def seeded(doc_ids: np.ndarray, null: np.ndarray, ordinal: np.ndarray, hashed=keys_of) -> tuple[int, np.ndarray]:
+    """The first seed under which all keys differ, and the keys."""
+    for seed in range(1000, 1064):
+        keys = hashed(doc_ids, null, ordinal, seed)
+        if len(np.unique(keys)) == len(keys):
+            return seed, keys
+    raise ValueError("two documents have the same id and ordinal")
 
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -172,8 +185,8 @@ def _put(fs: pafs.FileSystem, temporary: str, name: str, chunks: Iterator[bytes]
     fs.move(temporary, name)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> list[tuple[int, int, int]]:
-    """Write shards below ``path``; gives (shard, documents, ids) of each, in order."""
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> list[tuple]:
+    """Write shards below ``path``; gives (shard, documents, ids, first doc_id, last doc_id) of each, in order."""
     spark = docs.sparkSession
     model = tokenizer or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -213,18 +226,20 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (null[1:] != null[:-1])])
         first = np.flatnonzero(fresh)
         ordinal = np.arange(len(doc)) - first[np.cumsum(fresh) - 1]
-        keys = keys_of(doc, null, ordinal)
+        seed, keys = seeded(doc, null, ordinal)
         mph = PerfectHash.build(keys)
         slot = mph.slots(keys)
         index = {k: np.zeros(len(doc), t) for k, t in (("print", "<u4"), ("offset", "<u8"), ("count", "<u4"))}
         index["print"][slot], index["offset"][slot], index["count"][slot] = K.mix(keys, 33).astype(np.uint32), np.cumsum(n) - n, n
         arrays = {"doc_id": doc.astype("<i8"), "null": null.astype("u1"), "ordinal": ordinal.astype("<u4"), "sizes": mph.sizes.astype("<i8"), "words": mph.words, **index}
-        head = json.dumps({"ids": enc.kind.str, "end": end_id, "arrays": [[k, a.dtype.str, len(a)] for k, a in arrays.items()]}).encode()
+        head = json.dumps({"ids": enc.kind.str, "end": end_id, "seed": seed, "arrays": [[k, a.dtype.str, len(a)] for k, a in arrays.items()]}).encode()
         _put(fs, f"{base}/{shard:05d}.idx{own}", f"{base}/{shard:05d}.idx", iter([len(head).to_bytes(8, "little"), head, *(a.tobytes() for a in arrays.values())]))
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(doc), int(n.sum()))], ["shard", "docs", "ids"])
+        ends = [None if null[i] else int(doc[i]) for i in (0, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(doc), int(n.sum()), *ends)], ["shard", "docs", "ids", "first", "last"])
 
-    ordered = rows.repartitionByRange(shards, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    return sorted(tuple(r) for r in ordered.mapInArrow(run, "shard long, docs long, ids long").collect())
+    order = [F.asc_nulls_first("doc_id"), F.asc("text_hash")]
+    ordered = rows.withColumn("text_hash", F.xxhash64("text")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    return sorted((tuple(r) for r in ordered.mapInArrow(run, "shard long, docs long, ids long, first long, last long").collect()), key=lambda r: r[0])
 
 
 class Shard:
@@ -240,7 +255,7 @@ class Shard:
         for k, kind, size in head["arrays"]:
             self.arrays[k] = np.frombuffer(raw, kind, size, at)
             at += size * np.dtype(kind).itemsize
-        self.kind = np.dtype(head["ids"])
+        self.kind, self.seed = np.dtype(head["ids"]), head["seed"]
         self.mph = PerfectHash(self.arrays["sizes"], self.arrays["words"])
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,26 +266,46 @@ class Shard:
         at = np.where(there, slot, 0)
         return there, self.arrays["offset"][at].astype(np.int64), self.arrays["count"][at].astype(np.int64)
 
+    def keys(self, doc_ids: np.ndarray, null: np.ndarray, ordinal: np.ndarray) -> np.ndarray:
+        return keys_of(doc_ids, null, ordinal, self.seed)
+
     def ids(self, offset: int, count: int) -> np.ndarray:
         with self.fs.open_input_file(f"{self.name}.ids") as f:
             f.seek(offset * self.kind.itemsize)
             return np.frombuffer(f.read(count * self.kind.itemsize), self.kind)
 
 
-def read(spark: SparkSession, path: str, shards: list[tuple[int, int, int]]) -> DataFrame:
+def lookup(path: str, shards: list[tuple], doc_id: int | None) -> list[np.ndarray]:
+    """The ids of each document of this doc_id, by its keys: a few probes and a read for each."""
+    low = lambda x: (x is not None, x)  # noqa: E731  null ids come first
+    out = []
+    at = bisect_left([low(x[4]) for x in shards], low(doc_id))
+    while at < len(shards) and low(shards[at][3]) <= low(doc_id):
+        sh, ordinal, there = Shard(path, shards[at][0]), 0, True
+        while there:
+            key = sh.keys(np.array([doc_id or 0]), np.array([doc_id is None]), np.array([ordinal]))
+            (there,), (offset,), (count,) = sh.find(key)
+            if there:
+                out.append(sh.ids(int(offset), int(count)))
+            ordinal += 1
+        at += 1
+    return out
+
+
+def read(spark: SparkSession, path: str, shards: list[tuple]) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, looked up by its key in the files."""
-    start, total = {}, 0
-    for shard, _, n in shards:
-        start[shard] = total
+    start, total = [], 0
+    for shard, _, n, *_ in shards:
+        start.append((shard, total))
         total += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number in batch.column(0).to_pylist():
-                sh = Shard(path, shards[number][0])
+            for shard, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sh = Shard(path, shard)
                 a = sh.arrays
                 null = a["null"].astype(bool)
-                there, offset, count = sh.find(keys_of(a["doc_id"], null, a["ordinal"]))
+                there, offset, count = sh.find(sh.keys(a["doc_id"], null, a["ordinal"]))
                 if not there.all():
                     raise ValueError(f"{sh.name}: the index misses {int((~there).sum())} of its keys")
                 with sh.fs.open_input_stream(f"{sh.name}.ids") as f:
@@ -280,9 +315,11 @@ def read(spark: SparkSession, path: str, shards: list[tuple[int, int, int]]) ->
                             raise ValueError(f"{sh.name}: ids of a document begin at {offset[i]}, not at {at}")
                         crc[i] = zlib.crc32(np.frombuffer(f.read(int(count[i]) * sh.kind.itemsize), sh.kind).astype("<u4").tobytes())
                         at += int(count[i])
-                yield pa.RecordBatch.from_arrays([pa.array(a["doc_id"], mask=null), pa.array(start[shards[number][0]] + offset), pa.array(count), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(a["doc_id"], mask=null), pa.array(before + offset), pa.array(count), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.range(0, len(shards), 1, max(1, len(shards))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # The list goes into the plan's rows, not into every task's closure.
+    rows = spark.createDataFrame(start, "shard long, before long").repartition(max(1, len(start)))
+    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
