@@ -32,6 +32,7 @@ import json
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -110,10 +111,12 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.clear()
         keys = h.tolist()
-        new = [i for i, x in enumerate(keys) if x not in self.known]
-        if new:
-            self._learn([keys[i] for i in new], [raw[s[first[i]] : e[first[i]]].decode() for i in new])
-        slot = np.array([self.known[x] for x in keys], np.int64)[back]
+        slot = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            slot[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._learn(h[new].tolist(), [raw[a:z].decode() for a, z in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)])
+        slot = slot[back]
         start, size = self.start[slot], self.size[slot]
         total = np.cumsum(size)
         at = np.repeat(start - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)
