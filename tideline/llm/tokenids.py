@@ -49,7 +49,7 @@ SHARD_CHARS = 48 << 20
 _LETTER = K.byte_class(*range(0x41, 0x5B), *range(0x61, 0x7B))
 _MARK = K.byte_class(*(c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27))
 #: Units remembered by a worker; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 # Fixed value: the splitting pattern under which units may be encoded apart.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -123,6 +123,16 @@ class Encoder:
         return self.pool[0][at], np.bincount(rows, size, minlength=b.n).astype(np.int64)
 
 
+_loaded: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """A worker's encoder of a file; it and the units it remembers serve all tasks of the worker."""
+    if path not in _loaded:
+        _loaded[path] = Encoder(path)
+    return _loaded[path]
+
+
 class PerfectHash:
     """A minimal perfect hash of different 64-bit keys: bits of all levels, and counts before each word."""
 
@@ -202,7 +212,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         task = TaskContext.get()
         shard, own = task.partitionId(), f".{task.taskAttemptId()}"
         fs, base = _fs(path)
-        enc = Encoder(model)
+        enc = encoder(model)
         ids, sizes = [], []
 
         def payload() -> Iterator[bytes]:
