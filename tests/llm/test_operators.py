@@ -142,7 +142,6 @@ def test_decontamination(spark, docs, empty):
     item = " ".join(LONG.split()[5:20])
     items = spark.createDataFrame([(1, item.translate(UP)), (2, "one, TWO"), (2, "one, TWO"), (3, None), (4, "..."), (None, "b b")], "item_id long, text string")
     table = {1: item.translate(UP), 2: "one, TWO", None: "b b"}
-    got = decontaminate.contamination(docs, items).collect()
     for limit in (1, decontaminate.MAX_ITEM_BYTES):
         got = decontaminate.contamination(docs, items, limit=limit).collect()
         for r, (_, t, *_rest) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id, r.n_words)), sorted(DOCS, key=lambda d: (d[0] is None, d[0])), strict=True):
@@ -158,7 +157,9 @@ def test_decontamination(spark, docs, empty):
                 assert alnum((t or "").encode()[a:b].decode())
     one = decontaminate.digest(decontaminate.contamination(docs, items)).where("doc_id = 0").first()
     assert one.items_sha256 == hashlib.sha256(b"1").hexdigest() and one.contaminated
-    assert decontaminate.clean(docs, items).columns == docs.columns
+    kept = [sorted((r.doc_id is None, r.doc_id, r.text) for r in decontaminate.clean(docs, items, limit=n).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()) for n in (1, decontaminate.MAX_ITEM_BYTES)]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < len(DOCS)
+    assert decontaminate.clean(docs, items).columns == decontaminate.clean(docs, items, limit=1).columns == docs.columns
     assert decontaminate.contamination(empty, items).count() == 0
     assert decontaminate.contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
 

@@ -5,9 +5,11 @@ one space between. Every window of ten words of an item (or the whole item, if i
 fewer) is a pattern ``" w1 ... wn "`` of the automaton; a text is scanned once, and a
 match's character range is mapped to word positions and to byte offsets of the original.
 
-The automaton goes to the workers only while its patterns are within
-``MAX_ITEM_BYTES``; a larger benchmark is cut into parts within that bound, each is
-scanned in the same task, and their results are united, so results don't depend on the cut.
+The automaton's patterns have at most about ``MAX_ITEM_BYTES``, which bounds what the driver
+collects, what is broadcast and what a worker builds (once, for all its tasks). Within it the texts
+are scanned once. A larger benchmark is cut into parts within the bound; the texts are scanned once for
+each, with one automaton at a time, and the word ranges that are hit are written and united by hash
+of the text, so results don't depend on the cut.
 
 Defined results. Null or blank text: no words, nothing hit. A null or blank item, or one
 without words, has no windows. Repeated items count once per item_id; a null item_id marks
@@ -18,7 +20,9 @@ columns are ignored; an empty benchmark hits nothing.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import kernel as K
+from tideline.plans.scratch import stored
 
 WINDOW = 10
 MAX_ITEM_BYTES = 16 << 20
@@ -42,9 +47,8 @@ def windows(words: list[bytes], size: int = WINDOW) -> list[list[bytes]]:
     return [words[i : i + size] for i in range(max(1, len(words) - size + 1))] if words else []
 
 
-def _parts(benchmark: DataFrame, size: int, limit: int) -> list[list[tuple]]:
+def _parts(benchmark: DataFrame, size: int, limit: int) -> Iterator[list[tuple]]:
     """Patterns (text, words, ids of items) in parts of bounded size; items arrive one by one."""
-    parts: list[list[tuple]] = []
     found: dict[bytes, tuple[int, list]] = {}
     held = 0
     for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).distinct().toLocalIterator():
@@ -54,27 +58,35 @@ def _parts(benchmark: DataFrame, size: int, limit: int) -> list[list[tuple]]:
             ids = found.setdefault(key, (len(w), []))[1]
             if row[0] is not None and row[0] not in ids:
                 ids.append(row[0])
-        if held > limit:
-            parts.append([(k, n, ids) for k, (n, ids) in found.items()])
-            found, held = {}, 0
+            if held > limit:
+                yield [(k, n, ids) for k, (n, ids) in found.items()]
+                found, held = {}, 0
     if found:
-        parts.append([(k, n, ids) for k, (n, ids) in found.items()])
-    return parts
+        yield [(k, n, ids) for k, (n, ids) in found.items()]
 
 
-def _automaton(part: list[tuple]):
-    a = ahocorasick.Automaton()
-    for key, n, ids in part:
-        a.add_word(key.decode("latin-1"), (len(key), n, ids))
-    a.make_automaton()
-    return a
+class Patterns:
+    """A broadcast part of the patterns; each worker builds its automaton once and holds one at a time."""
 
+    _built: tuple = (None, None)
 
-def scan(block: K.Block, automata: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, set]]:
-    """For each text: row, number of words, hit flags, begins and ends of words, items found."""
+    def __init__(self, spark: SparkSession, part: list[tuple]):
+        self.name, self.shared = uuid.uuid4().hex, spark.sparkContext.broadcast(part)
+
+    def automaton(self) -> ahocorasick.Automaton:
+        if Patterns._built[0] != self.name:
+            a = ahocorasick.Automaton()
+            for key, n, ids in self.shared.value:
+                a.add_word(key.decode("latin-1"), (len(key), n, ids))
+            a.make_automaton()
+            Patterns._built = (self.name, a)
+        return Patterns._built[1]
+
+
+def scan(block: K.Block, automaton: ahocorasick.Automaton) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple]]]:
+    """For each text: row, begins and ends of its words, and (first word, words, ids of items) of each match."""
     s, e, rows = block.spans(K.ALNUM)
-    n = block.counts(rows)
-    at = np.concatenate([[0], np.cumsum(n)])
+    at = np.concatenate([[0], np.cumsum(block.counts(rows))])
     lower = np.frombuffer(bytes(block.buf).translate(_LOWER), np.uint8)
     inside = np.zeros(len(lower) + 1, np.int32)
     np.add.at(inside, s, 1)
@@ -83,8 +95,8 @@ def scan(block: K.Block, automata: list) -> Iterator[tuple[int, int, np.ndarray,
     length = (e - s) + 1
     for r in range(block.n):
         lo, hi = at[r], at[r + 1]
-        hit, items = np.zeros(hi - lo, np.int32), set()
-        if hi > lo:
+        matches: list[tuple] = []
+        if hi > lo and len(automaton):
             # The text's word bytes, each word followed by a space, one space before the first.
             line = np.full(1 + int(length[lo:hi].sum()), 32, np.uint8)
             begins = 1 + np.concatenate([[0], np.cumsum(length[lo:hi])])[:-1]
@@ -92,17 +104,21 @@ def scan(block: K.Block, automata: list) -> Iterator[tuple[int, int, np.ndarray,
             gaps = np.repeat(begins - s[lo:hi], e[lo:hi] - s[lo:hi])
             where = np.flatnonzero(member[b0:b1]) + b0
             line[where + gaps] = lower[where]
-            text = line.tobytes().decode("latin-1")
-            found = [(end - size + 2, k, ids) for a in automata for end, (size, k, ids) in a.iter(text)]
+            found = [(end - size + 2, k, ids) for end, (size, k, ids) in automaton.iter(line.tobytes().decode("latin-1"))]
             if found:
-                mark = np.zeros(hi - lo + 1, np.int32)
-                first = np.searchsorted(begins, [x[0] for x in found])
-                np.add.at(mark, first, 1)
-                np.add.at(mark, first + np.array([x[1] for x in found]), -1)
-                hit = np.cumsum(mark[:-1])
-                for x in found:
-                    items.update(x[2])
-        yield r, int(hi - lo), hit > 0, s[lo:hi] - block.off[r], e[lo:hi] - block.off[r], items
+                first = np.searchsorted(begins, [x[0] for x in found]).tolist()
+                matches = [(f, k, ids) for f, (_, k, ids) in zip(first, found, strict=True)]
+        yield r, s[lo:hi] - block.off[r], e[lo:hi] - block.off[r], matches
+
+
+def covered(n: int, ranges: list) -> np.ndarray:
+    """Which of n words lie in a range (first word, words)."""
+    mark = np.zeros(n + 1, np.int32)
+    if ranges:
+        first, size = np.array([x[0] for x in ranges]), np.array([x[1] for x in ranges])
+        np.add.at(mark, first, 1)
+        np.add.at(mark, first + size, -1)
+    return np.cumsum(mark[:-1]) > 0
 
 
 def spans_of(hit: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -111,33 +127,100 @@ def spans_of(hit: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[tupl
     return [(int(begins[a]), int(ends[b - 1])) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
+_KINDS = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
+_SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<begin: long, end: long>>"
+
+
+def _result(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of (begins, ends, ranges, items) to the columns of :func:`contamination`."""
+    out = []
+    for b, e, ranges, items in rows:
+        hit = covered(len(b), ranges)
+        out.append((len(b), int(hit.sum()), sorted(items), [{"begin": x, "end": y} for x, y in spans_of(hit, b, e)]))
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True))], ["doc_id", "n_words", "n_hit", "items", "spans"])
+
+
+def _first_two(parts: Iterator[list]) -> tuple[list, Iterator[list] | None]:
+    """The first part; if there are more, all of them."""
+    first, second = next(parts, []), next(parts, None)
+    return first, None if second is None else chain([first, second], parts)
+
+
+def _hits(docs: DataFrame, parts: Iterator[list]) -> DataFrame:
+    """A written table (text_hash, ranges, items) of the texts hit, a row for each part that hits one."""
+    texts, out = docs.select(F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string")), None
+
+    def run_of(patterns: Patterns):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            a = patterns.automaton()
+            for batch in batches:
+                rows = []
+                for part, block in K.blocks(batch.column(1)):
+                    for r, _, _, found in scan(block, a):
+                        if found:
+                            rows.append((batch.column(0)[part.start + r].as_py(), sorted({(f, k) for f, k, _ in found}), sorted({i for x in found for i in x[2]})))
+                if rows:
+                    ranges = pa.array([[{"first": f, "words": k} for f, k in x[1]] for x in rows], pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())])))
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), ranges, pa.array([x[2] for x in rows], pa.list_(pa.string()))], ["text_hash", "ranges", "items"])
+
+        return run
+
+    for part in parts:
+        patterns = Patterns(docs.sparkSession, part)
+        got = texts.mapInArrow(run_of(patterns), "text_hash long, ranges array<struct<first: long, words: long>>, items array<string>")
+        # Copies of a text have the same matches; one of them is kept.
+        got = stored(got.groupBy("text_hash").agg(F.first("ranges").alias("ranges"), F.first("items").alias("items")), "hits")
+        patterns.shared.destroy()
+        out = got if out is None else out.union(got)
+    return out
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = MAX_ITEM_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids), spans (byte ranges of hit runs in the text)."""
-    parts = docs.sparkSession.sparkContext.broadcast(_parts(benchmark, window, limit))
+    first, several = _first_two(_parts(benchmark, window, limit))
+    if several is None:
+        patterns = Patterns(docs.sparkSession, first)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [_automaton(p) for p in parts.value]
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            a = patterns.automaton()
+            for batch in batches:
+                for part, block in K.blocks(batch.column(1)):
+                    rows = [(b, e, found, {i for x in found for i in x[2]}) for _, b, e, found in scan(block, a)]
+                    yield _result(batch.column(0)[part.start : part.stop], rows)
+
+        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SCHEMA)
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, block in K.blocks(batch.column(1)):
-                got = [(n, int(hit.sum()), sorted(items), spans_of(hit, b, e)) for _, n, hit, b, e, items in scan(block, automata)]
-                cols = list(zip(*got, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
-                data = [*cols[:3], [[{"begin": x, "end": y} for x, y in z] for z in cols[3]]]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], *(pa.array(c, k) for c, k in zip(data, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "items", "spans"])
+                own = batch.slice(part.start, part.stop - part.start)
+                s, e, rows = block.spans(K.ALNUM)
+                at = np.concatenate([[0], np.cumsum(block.counts(rows))])
+                out = []
+                for r, (ranges, items) in enumerate(zip(own.column(2).to_pylist(), own.column(3).to_pylist(), strict=True)):
+                    lo, hi = at[r], at[r + 1]
+                    out.append((s[lo:hi] - block.off[r], e[lo:hi] - block.off[r], [(x["first"], x["words"]) for x in ranges or []], items or []))
+                yield _result(own.column(0), out)
 
-    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<begin: long, end: long>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    hits = _hits(docs, several).groupBy("text_hash").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    return rows.join(hits, "text_hash", "left").select("doc_id", "text", "ranges", "items").mapInArrow(united, _SCHEMA)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = MAX_ITEM_BYTES) -> DataFrame:
     """Rows of ``docs``, all columns, whose text holds no window of the benchmark."""
-    parts = docs.sparkSession.sparkContext.broadcast(_parts(benchmark, window, MAX_ITEM_BYTES))
+    first, several = _first_two(_parts(benchmark, window, limit))
+    if several is not None:
+        (h,) = K.fresh(docs, "text_hash")
+        hits = _hits(docs, several).select(F.col("text_hash").alias(h)).distinct()
+        return docs.withColumn(h, F.xxhash64(F.col("text").cast("string"))).join(hits, h, "left_anti").select(*docs.columns)
+    patterns = Patterns(docs.sparkSession, first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [_automaton(p) for p in parts.value]
+        a = patterns.automaton()
         for batch in batches:
-            keep = [bool(hit.any()) for _, block in K.blocks(batch.column("text")) for _, _, hit, _, _, _ in scan(block, automata)]
-            yield batch.filter(pa.array([not x for x in keep], pa.bool_()))
+            keep = [not found for _, block in K.blocks(batch.column("text")) for _, _, _, found in scan(block, a)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
