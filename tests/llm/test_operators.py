@@ -544,6 +544,57 @@ def test_license_spans_survive_changed_words(spark):
     assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == "mit"
 
 
+def brute_license(text):
+    """Labels by the share of a template's words that its k-grams cover in one run of near diagonals."""
+    w, spans = alnum(text), []
+    at = collections.defaultdict(list)
+    for i in range(len(w) - licenses.GRAM + 1):
+        at[tuple(w[i : i + licenses.GRAM])].append(i)
+    for label, template in licenses.TEMPLATES:
+        t = alnum(template)
+        votes = collections.defaultdict(list)
+        for j in range(len(t) - licenses.GRAM + 1):
+            for i in at[tuple(t[j : j + licenses.GRAM])]:
+                votes[i - j].append((i, j))
+        runs, last = [], None
+        for d in sorted(votes):
+            if last is None or d - last > licenses.NEAR:
+                runs.append([])
+            runs[-1] += votes[d]
+            last = d
+        for run in runs:
+            covered = len({j + k for _, j in run for k in range(licenses.GRAM)})
+            first, end = min(i for i, _ in run), max(i for i, _ in run) + licenses.GRAM - 1
+            if covered >= licenses.COVER * len(t) or covered >= licenses.LONG and covered >= licenses.COVER * (end - first + 1):
+                spans.append((first, end, covered, label))
+    out, group, reach = set(), [], -1
+    for s in [*sorted(spans), (1 << 60, 0, 0, "")]:
+        if s[0] > reach and group:
+            out |= {x[3] for x in group if x[2] == max(y[2] for y in group)}
+            group = []
+        group.append(s)
+        reach = max(reach, s[1])
+    return out
+
+
+def test_license_labels_against_brute_force(spark):
+    rng, texts = random.Random(4), ["", prose(50)]
+    for label, t in licenses.TEMPLATES:
+        w = t.split()
+        for cut in (len(w), len(w) * 2 // 3, len(w) // 4):
+            own = list(w[:cut])
+            for _ in range(len(own) // 30):
+                own[rng.randrange(len(own))] = "changed"
+            texts.append(f"{prose(20)} {' '.join(own)} {prose(20)}")
+    texts.append(" ".join(t for _, t in licenses.TEMPLATES))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        base = {label for p, label in licenses.PHRASES.items() if p in " ".join(alnum(t))}
+        assert (i, got[i].labels) == (i, ",".join(sorted(base | brute_license(t))))
+    whole = {label: got[2 + 3 * k].labels.split(",") for k, (label, _) in enumerate(licenses.TEMPLATES)}
+    assert all(label in found for label, found in whole.items()) and "lgpl" not in whole["gpl"] and "lgpl" not in whole["agpl"]
+
+
 def test_quality(spark, docs, empty):
     got = sorted(quality.judge(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
     for r, (_, t, *_rest) in zip(got, sorted(DOCS, key=lambda d: (d[0] is None, d[0])), strict=True):
