@@ -36,11 +36,13 @@ from __future__ import annotations
 import math
 import re
 import sys
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -223,6 +225,16 @@ class Scorer:
         return cost
 
 
+_scorer: list = [None, None]
+
+
+def scorer_of(name: str, shared: Broadcast) -> Scorer:
+    """A worker's scorer of a broadcast model; its table of costs serves all tasks of the worker."""
+    if _scorer[0] != name:
+        _scorer[:] = name, Scorer(shared.value)
+    return _scorer[1]
+
+
 def _lead(ent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     best = np.argmin(ent, axis=1)
     low = ent[np.arange(len(ent)), best]
@@ -287,15 +299,15 @@ def _slope(lead: np.ndarray, right: np.ndarray) -> float:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs``, all columns, with lang_pred, score, entropy and rejected. Only ``text`` is read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     names = ["lang_pred", "score", "entropy", "rejected"]
     schema = docs.drop(*names).schema
-    for name, kind in zip(names, ("string", "double", "double", "boolean"), strict=True):
-        schema = schema.add(name, kind)
+    for column, kind in zip(names, ("string", "double", "double", "boolean"), strict=True):
+        schema = schema.add(column, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        scorer = Scorer(m)
+        scorer = scorer_of(name, shared)
+        m = scorer.m
         for b in batches:
             texts = b.column("text").to_pylist()
             lang = np.full(len(texts), "und", object)
