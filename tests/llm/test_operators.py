@@ -233,7 +233,8 @@ def test_language_id_letters_ties_and_odd_columns(spark):
     got = {r.doc_id: r for r in langid.identify(asked, model).collect()}
     assert (got[1].lang_pred, got[1].score, got[1].rejected) == ("und", 0.0, True)
     assert (got[2].lang_pred, got[2].Node) == ("aa", "keep") and 0 <= got[2].score <= 1
-    assert all(langid._LETTERS.fullmatch(c) for c in "aéßЖ漢ªʰ") and not any(langid._LETTERS.search(c) for c in "½²Ⅷ٣_-")
+    assert all(langid.letters(c) for c in "aéßЖ漢ªʰ") and not any(langid.letters(c) for c in "½²Ⅷ٣_-")
+    assert langid.letters("aⅧb c½ 1d_e") == ["a", "b", "c", "d", "e"]
 
 
 @pytest.mark.parametrize("rows", [6, 60, 600])

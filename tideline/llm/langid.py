@@ -35,7 +35,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -54,14 +53,21 @@ TRAIN_CHARS = 4_000_000
 TRAIN_ALL, MAX_LANGS = 48_000_000, 4096
 REJECT_RATE, TAIL = 1e-4, 0.1
 _SLOTS = 1 << 20
-# Letters are the characters of Unicode's categories L*; digits and number signs (Nd, Nl, No) are not.
-_NUMERALS = "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha())
-_LETTERS = re.compile(rf"[^\W_{_NUMERALS}]+")
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def letters(text: str | None) -> list[str]:
+    """The runs of letters (Unicode's categories L*) of the text in lower case."""
+    words = _WORDS.findall((text or "").lower())
+    if "".join(words).isalpha():
+        return words
+    # Some word holds a number sign (Nl, No), which the pattern takes for a letter.
+    return "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
 
 
 def _codes(text: str | None) -> np.ndarray:
     """The normalised text as 16-bit numbers; empty if there is no letter."""
-    t = " ".join(_LETTERS.findall((text or "").lower()))
+    t = " ".join(letters(text))
     if not t:
         return np.zeros(0, np.uint64)
     c = np.frombuffer(f" {t} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
