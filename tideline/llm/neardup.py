@@ -11,7 +11,7 @@ candidate edges, exact confirmation on the full shingle sets.
 3. Nodes that share a band are a bucket. In the first ``LEAD`` bands each bucket is a
    star: its least node is paired with the others, n - 1 pairs for n nodes. Pairs are
    confirmed on the full sets, and links make components: a large group of near copies is
-   one component from here on. The leaves of a star are dealt to tasks of about ``SIDE``, each
+   one component from here on. The leaves of a star are dealt to tasks of about ``STAR``, each
    with a copy of the centre, so the centre of a large family is no hot key.
 4. A star can lose a link between two of its leaves, so every bucket of every band that
    still holds two components is searched in full. Its largest component needs no
@@ -53,6 +53,8 @@ BANDS, ROWS, WORDS, PERCENT = 56, 6, 5, 75
 LEAD = 6
 #: Nodes of a side of a search task; the least estimate of the similarity that is confirmed on the full sets.
 SIDE, CUTOFF = 512, 0.62
+#: Leaves of a star in one task.
+STAR = 128
 
 
 def shingle_sets(block: K.Block, words: int = WORDS) -> list[np.ndarray]:
@@ -160,8 +162,8 @@ def _texts(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Links (u, v) among ``pairs`` (center, node): a star's leaves in tasks of about SIDE."""
-    chunks = pairs.groupBy("center").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("chunks"))
+    """Links (u, v) among ``pairs`` (center, node): a star's leaves in tasks of about STAR."""
+    chunks = pairs.groupBy("center").agg(F.ceil(F.count("*") / STAR).cast("int").alias("chunks"))
     leaves = pairs.join(chunks, "center").select("center", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), "node")
     centers = chunks.select("center", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("center").alias("node"))
     rows = leaves.union(centers).join(texts, "node").select("center", "chunk", (F.col("node") != F.col("center")).alias("leaf"), "node", "text")
