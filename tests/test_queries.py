@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions.text import normalize_text
-from tideline.operators import events, model, series
+from tideline.operators import analysis, events, model, series
 from tideline.plans import queries as Q
 from tideline.sources import files
 from tideline.streaming import online
@@ -83,6 +83,43 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "w")).count() == 2
 
 
+def test_gaps_of_many_tasks(spark):
+    samples = spark.createDataFrame([("a", t) for t in range(30)] + [("b", 5)], "k string, time long")
+    tasks = spark.createDataFrame([("a", 3, 6), ("a", 5, 9), ("a", 9, 10), ("a", 20, 20), ("a", 25, 40), ("c", 0, 9)], "k string, onset long, offset long")
+    got = sorted((r.k, r.onset, r.offset) for r in events.gaps(samples, tasks, ["k"]).collect())
+    assert got == [("a", 0, 2), ("a", 9, 24), ("b", 5, 5)]
+
+
+def test_analysis_is_resumed(spark, tmp_path):
+    o, path = Q.Options((1,)), f"{tmp_path}/out"
+    grid, cells = Q._grid(spark), Q._cells(spark, DATA)
+    first = analysis.run(cells.where("subject = 's0'"), grid, path, o)
+    assert {(r.side, r.subject): r.r_mean is not None for r in first.collect()} == {("left", "s0"): False, ("left", "s1"): False, ("mono", "s0"): True, ("mono", "s1"): False}
+    written = {r.subject: r.r_mean for r in spark.read.parquet(f"{path}/correlations").where("channel = 3").collect()}
+    again = analysis.run(cells, grid, path, o)
+    assert again.where("r_mean is not null").count() == 128
+    assert {r.subject: r.r_mean for r in spark.read.parquet(f"{path}/correlations").where("channel = 3").collect()} == {"s0": written["s0"], "s1": written["s0"]}
+    trfs = analysis.reload(spark, f"{path}/trfs", grid, analysis.CELL)
+    assert trfs.where("side = 'mono'").count() == 128 and trfs.where("side = 'left' and w_mean is null").count() == 2
+
+
+def test_dimensions(spark):
+    with pytest.raises(ValueError):
+        analysis.select_channels(analysis.channels(spark), ["Cz", "nowhere"])
+    left, right = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "k int, v string")
+    with pytest.raises(Exception, match="no file for 2"):
+        analysis.complete_join(left, right, ["k"], "file").collect()
+    labels = [r.label for r in analysis.feature_names(spark, "Spectrogram", 21).orderBy("feature").collect()]
+    assert len(labels) == 21 and labels == sorted(labels, key=int) and 0 < int(labels[0]) and int(labels[-1]) < 8000
+    assert [r.label for r in analysis.feature_names(spark, "Phonemes", 2, ["/a/", "/b/"]).orderBy("feature").collect()] == ["/a/", "/b/"]
+
+
+def test_cluster_order_query_is_the_linkage(spark):
+    rows = Q.heat_map_clustered(spark, DATA).collect()
+    place = {r.feature: r.position for r in rows}
+    assert sorted(place.values()) == list(range(len(place)))
+
+
 def test_crop_forms_agree(spark):
     s = spark.range(300).withColumnRenamed("id", "t")
     i = spark.createDataFrame([(1, 3.5, 100.0), (2, 64.0, 64.0), (3, 250.0, 0.0)], "n int, onset double, duration double")

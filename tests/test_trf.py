@@ -113,7 +113,20 @@ def test_peaks():
 def test_leaf_order_leaves_zero_rows_out():
     a = np.sin(np.arange(20.0))
     rows = np.stack([a, np.zeros(20), np.cos(np.arange(20.0) * 3), a + 0.01 * np.arange(20)])
-    assert trf.leaf_order(rows) == [0, 3, 2]
+    assert trf.leaf_order(rows) == [2, 0, 3]
+
+
+def test_leaf_order_numbers_clusters_as_they_form():
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 5, 12, 22):
+        rows = rng.normal(size=(n, 30)) + rng.normal(size=(1, 30))
+        dist, groups, number = 1 - np.corrcoef(rows), {i: [i] for i in range(n)}, n
+        while len(groups) > 1:
+            _, p, q = min((min(dist[i, j] for i in groups[p] for j in groups[q]), p, q) for p in groups for q in groups if p < q)
+            groups[number] = groups.pop(p) + groups.pop(q)
+            number += 1
+        assert trf.leaf_order(rows) == groups[number - 1]
+    assert trf.leaf_order(rows[:1]) == [0] and trf.leaf_order(np.zeros((2, 3))) == []
 
 
 def test_config():

@@ -182,19 +182,32 @@ def permuted_scores(x: np.ndarray, y: np.ndarray, alpha: float, o: Options, time
 
 def leaf_order(data: np.ndarray) -> list[int]:
     """Order of the rows by single linkage on 1 - correlation; all-zero rows are left out.
-    Original indices; the lower-numbered cluster comes first on ties."""
+
+    Original indices. Rows join along the edges of a minimum spanning tree, shortest first (on
+    ties, as the tree found them from the first row on); each join makes a cluster numbered
+    after all before it, and the lower-numbered side comes first."""
     keep = np.flatnonzero((data != 0).any(1))
-    if len(keep) < 2:
+    n = len(keep)
+    if n < 2:
         return keep.tolist()
     with np.errstate(all="ignore"):
         dist = 1 - np.corrcoef(data[keep])
     dist = np.nan_to_num((dist + dist.T) / 2, nan=1.0)
-    groups: list[list[int]] = [[i] for i in range(len(keep))]
-    while len(groups) > 1:
-        best = min(((min(dist[i, j] for i in a for j in b), p, q) for p, a in enumerate(groups) for q, b in enumerate(groups) if p < q))
-        _, p, q = best
-        groups[p] = groups[p] + groups.pop(q)
-    return keep[groups[0]].tolist()
+    near, origin, free = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
+    edges, at = [], 0
+    for _ in range(n - 1):
+        free[at] = False
+        closer = free & (dist[at] < near)
+        near[closer], origin[closer] = dist[at][closer], at
+        at = int(np.argmin(np.where(free, near, np.inf)))
+        edges.append((near[at], int(origin[at]), at))
+    cluster, leaves = list(range(n)), {i: [i] for i in range(n)}
+    for number, (_, i, j) in enumerate(sorted(edges, key=lambda e: e[0]), n):
+        low, high = sorted((cluster[i], cluster[j]))
+        leaves[number] = leaves.pop(low) + leaves.pop(high)
+        for k in leaves[number]:
+            cluster[k] = number
+    return keep[leaves[2 * n - 2]].tolist()
 
 
 def peaks(x: np.ndarray, least_gap: int, share: float = 0.1) -> np.ndarray:

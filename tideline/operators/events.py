@@ -18,10 +18,13 @@ def gaps(samples: DataFrame, tasks: DataFrame, keys: list[str], time: str = "tim
     An inner gap begins at the last sample of the task before it, as a forward difference
     finds it; one at the very begin starts with the first sample.
     """
-    hit = tasks.select(*keys, "onset", "offset")
-    inside = samples.join(hit, keys, "left") if keys else samples.crossJoin(hit)
-    flag = F.coalesce(F.max((F.col(time) >= F.col("onset")) & (F.col(time) < F.col("offset"))), F.lit(False))
-    marked = inside.groupBy(*keys, time).agg(flag.alias("busy"))
+    kind = dict(samples.dtypes)[time]
+    # A running count of open tasks over samples and borders in turn: no join, whatever their numbers.
+    borders = tasks.where("onset < offset").select(*keys, F.inline(F.array(F.struct(F.col("onset").alias(time), F.lit(1).alias("step")), F.struct(F.col("offset").alias(time), F.lit(-1).alias("step")))))
+    rows = samples.select(*keys, time).distinct().withColumn("step", F.lit(0)).withColumn("_sample", F.lit(True))
+    rows = rows.unionByName(borders.withColumn("_sample", F.lit(False)))
+    before = Window.partitionBy(*keys).orderBy(time, "_sample").rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumn("busy", F.sum("step").over(before) > 0).where("_sample").select(*keys, F.col(time).cast(kind).alias(time), "busy")
     w = Window.partitionBy(*keys).orderBy(time)
     steps = marked.withColumn("_was", F.lag("busy").over(w)).withColumn("_prior", F.lag(time).over(w))
     steps = steps.withColumn("_run", F.sum(F.when(F.col("busy") != F.col("_was"), 1).otherwise(0)).over(w))

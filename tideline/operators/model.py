@@ -101,9 +101,11 @@ def median_alpha(store: DataFrame, keys: list[str]) -> DataFrame:
     return store.groupBy(*keys).agg(F.pow(F.lit(10.0), F.median(F.log10("alpha"))).alias("alpha"))
 
 
-def nearest_alpha(grid: DataFrame, alpha: Column) -> DataFrame:
-    """Index of the grid value nearest to ``alpha``; grid is (i, alpha)."""
-    return grid.agg(F.min_by("i", F.struct(F.abs(F.col("alpha") - alpha), F.col("i"))).alias("i"))
+def nearest_alpha(grid: DataFrame, alpha: Column, keys: list[str] | None = None) -> DataFrame:
+    """(keys, i, alpha): the grid value nearest to ``alpha`` and its index, the lower index on ties;
+    grid is (keys, i, alpha)."""
+    near = F.struct(F.abs(F.col("alpha") - alpha), F.col("i"))
+    return grid.groupBy(*(keys or [])).agg(F.min_by(F.struct("i", "alpha"), near).alias("n")).select(*(keys or []), "n.i", "n.alpha")
 
 
 def selection_curves(curve: DataFrame, keys: list[str]) -> DataFrame:

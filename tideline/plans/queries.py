@@ -15,12 +15,13 @@ from tideline.config import BANDS, Config
 from tideline.functions import signal
 from tideline.functions.text import normalize_text
 from tideline.functions.trf import Options
+from tideline.operators import analysis as A
 from tideline.operators import events as E
 from tideline.operators import model as M
 from tideline.operators import reduce as R
 from tideline.operators import series as S
+from tideline.plans.scratch import new_path
 
-HOURS = 720
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -44,9 +45,11 @@ def _r(c: str | Column, n: int = 6) -> Column:
 
 
 def hours(spark: SparkSession, d: str) -> DataFrame:
-    """(t, x): the mean of each hour, 0 where there is none."""
+    """(t, x): the mean of each hour up to the last event's, 0 where there is none."""
     t = F.expr("timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', ts)").cast("long")
-    return S.dense(_read(spark, d, "events").groupBy(t.alias("t")).agg(F.avg("value").alias("x")), HOURS, "x")
+    rows = _read(spark, d, "events").select(t.alias("t"), "value")
+    last = rows.agg(F.max("t")).first()[0]
+    return S.dense(rows.groupBy("t").agg(F.avg("value").alias("x")), 0 if last is None else last + 1, "x")
 
 
 def channels(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +64,8 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return M.joined(hours(spark, d).withColumn("series", F.lit(0)), y.withColumn("series", F.lit(0)), ["series"])
 
 
-_H = """with g as (select range as t from range(720)),
+_T0 = "(select unnest(range(cast((select max(floor(epoch(ts - timestamp '2024-01-01') / 3600)) + 1 from events) as bigint))) as t)"
+_H = f"""with g as {_T0},
 m as (select cast(floor(epoch(ts - timestamp '2024-01-01') / 3600) as bigint) as t, avg(value) as v from events group by 1),
 s as (select g.t, coalesce(m.v, 0) as x from g left join m using (t))"""
 _C = "c as (select vec_id as t, generate_subscripts(embedding, 1) - 1 as channel, cast(unnest(embedding) as double) as y from embeddings)"
@@ -217,9 +221,10 @@ def selection_curves(spark, d):
     return out.select("subject", _r("alpha").alias("alpha"), _r("gap_percent", 5).alias("gap_percent"), _r("penalised").alias("penalised"), _r("normalised").alias("normalised"))
 
 
-@_query(_K + " select subject, arg_min(round(alpha, 6), abs(alpha - 3.0)) as alpha from q group by 1")
+@_query(_K + " , n as (select subject, alpha, row_number() over (partition by subject order by alpha) - 1 as i from q), o as (select *, row_number() over (partition by subject order by abs(alpha - 3.0), i) as k from n) select subject, round(alpha, 6) as alpha, i from o where k = 1")
 def nearest_alpha(spark, d):
-    return curve(spark, d).groupBy("subject").agg(F.min_by(_r("alpha"), F.abs(F.col("alpha") - 3.0)).alias("alpha"))
+    grid = curve(spark, d).select("subject", F.expr("row_number() over (partition by subject order by alpha) - 1").alias("i"), "alpha")
+    return M.nearest_alpha(grid, F.lit(3.0), ["subject"]).select("subject", _r("alpha").alias("alpha"), F.col("i").cast("long").alias("i"))
 
 
 @_query("""select event_type, cast(user_id % 5 as integer) as cell, round(coalesce(avg(case when user_id % 7 <> 0 then value end), 0), 6) + 0 as r_mean,
@@ -286,7 +291,7 @@ def rising_edges(spark, d):
     return E.rising_edges(_read(spark, d, "events"), F.col("event_type") == "click", ["user_id"], ["ts", "event_id"]).select("event_id")
 
 
-@_query("""with s as (select range as t from range(720)), k as (select range * 50 + 5 as a, range * 50 + 30 as b from range(14)),
+@_query(f"""with s as {_T0}, k as (select range * 50 + 5 as a, range * 50 + 30 as b from range(14)),
 m as (select t, coalesce(bool_or(t >= a and t < b), false) as busy from s cross join k group by t), w as (select *, lag(t) over (order by t) as p, case when busy <> lag(busy) over (order by t) then 1 else 0 end as f from m),
 r as (select *, sum(f) over (order by t) as run from w) select coalesce(arg_min(p, t), min(t)) as onset, max(t) as "offset" from r where not busy group by run""")
 def gap_intervals(spark, d):
@@ -332,9 +337,15 @@ def min_length_align(spark, d):
     return S.align(rows, ["all"], "label").select("label", "t", "vec_id")
 
 
-@_query("select role, conv_id, turn, row_number() over (partition by role order by conv_id, turn) - 1 as pos from (select *, dense_rank() over (partition by role order by conv_id) as k from conversations) where k <= 20")
+@_query("select role, conv_id, turn, row_number() over (partition by role order by conv_id, turn) - 1 as pos from conversations")
 def segment_concat(spark, d):
-    out = S.concat_segments(_read(spark, d, "conversations").select("role", "conv_id", "turn"), ["role"], "conv_id", "turn", first=20)
+    out = S.concat_segments(_read(spark, d, "conversations").select("role", "conv_id", "turn"), ["role"], "conv_id", "turn")
+    return out.select("role", "conv_id", "turn", F.col("index").cast("long").alias("pos"))
+
+
+@_query("select role, conv_id, turn, row_number() over (partition by role order by conv_id, turn) - 1 as pos from (select *, dense_rank() over (partition by role order by conv_id) as k from conversations) where k <= 2")
+def segment_limit(spark, d):
+    out = S.concat_segments(_read(spark, d, "conversations").select("role", "conv_id", "turn"), ["role"], "conv_id", "turn", first=2)
     return out.select("role", "conv_id", "turn", F.col("index").cast("long").alias("pos"))
 
 
@@ -427,3 +438,71 @@ def side_selection(spark, d):
 def delay_trim(spark, d):
     rows = _read(spark, d, "embeddings").select("label", "vec_id", F.expr("row_number() over (partition by label order by vec_id) - 1").cast("long").alias("t"))
     return S.trim_tail(rows, ["label"], 5).select("label", "t", "vec_id")
+
+
+_NAMES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(A.CHANNELS))
+
+
+@_query("with " + _C + f", n as (select * from (values {_NAMES}) v(channel, name)) select t, name, round(y, 6) + 0 as y from c join n using (channel) where name in ('Cz', 'Fz', 'Pz', 'Oz')")
+def channel_selection(spark, d):
+    return A.select_channels(channels(spark, d), ["Cz", "Fz", "Pz", "Oz"]).select("t", "name", _r("y").alias("y"))
+
+
+@_query("select o_orderkey, c_name from orders join customer on o_custkey = c_custkey")
+def filecode_join(spark, d):
+    orders = _read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    return A.complete_join(orders, _read(spark, d, "customer").select("c_custkey", "c_name"), ["c_custkey"], "customer").select("o_orderkey", "c_name")
+
+
+def weights(spark, d):
+    """(subject, channel, feature, delay, w_mean): stand-in weights, the mean response of each label."""
+    e = _read(spark, d, "embeddings").select(F.col("label").alias("subject"), (F.col("vec_id") % 12).cast("int").alias("delay"), (F.col("vec_id") % 3).cast("int").alias("feature"), F.posexplode("embedding").alias("channel", "w"))
+    return e.groupBy("subject", "channel", "feature", "delay").agg(F.avg(F.col("w").cast("double")).alias("w_mean"))
+
+
+_W = """with c as (select label as subject, cast(vec_id % 12 as integer) as delay, cast(vec_id % 3 as integer) as feature, generate_subscripts(embedding, 1) - 1 as channel, cast(unnest(embedding) as double) as w from embeddings),
+a as (select subject, channel, feature, delay, avg(w) as w from c group by 1, 2, 3, 4)"""
+
+
+@_query(_W + """, m as (select channel, delay, avg(w) as w from a group by 1, 2),
+e as (select delay, avg(w) as mean, stddev_samp(w) / sqrt(count(*)) as sem, stddev_pop(w) as gfp from m group by 1),
+p as (select *, lag(gfp) over (order by delay) as b, lead(gfp) over (order by delay) as n, max(gfp) over () as top from e)
+select delay, round(mean, 6) + 0 as mean, round(sem, 6) + 0 as sem, round(gfp, 6) + 0 as gfp, coalesce(gfp > b and gfp > n and gfp >= 0.1 * top, false) as peak from p""")
+def evoked_table(spark, d):
+    # At 40 samples a second the least distance of peaks is one sample.
+    out = A.evoked(weights(spark, d), [], rate=40.0)
+    return out.select("delay", *(_r(c).alias(c) for c in ("mean", "sem", "gfp")), "peak")
+
+
+@_query(_W + """, m as (select subject, feature, delay, avg(w) as w from a group by 1, 2, 3),
+e as (select subject, delay, avg(w) as mean, stddev_samp(w) / sqrt(count(*)) as sem from m group by 1, 2)
+select subject, feature, feature as position, delay, round(w, 6) + 0 as w, round(mean, 6) + 0 as mean, round(sem, 6) + 0 as sem from m join e using (subject, delay)""")
+def heat_map_by_subject(spark, d):
+    out = A.heat_map(weights(spark, d), ["subject"])
+    return out.select("subject", "feature", "position", "delay", *(_r(c).alias(c) for c in ("w", "mean", "sem")))
+
+
+@_query()
+def heat_map_clustered(spark, d):
+    out = A.heat_map(weights(spark, d), [], cluster=True)
+    return out.select("feature", "position", "delay", *(_r(c).alias(c) for c in ("w", "mean", "sem")))
+
+
+def _grid(spark):
+    return S.param_grid(spark, band=["Theta"], attribute=["Envelope"], side=["left", "mono"], subject=["s0", "s1"])
+
+
+def _cells(spark, d):
+    """The one-lag pairs as the data of two cells; the other two have none."""
+    return pairs(spark, d).drop("series").withColumns({"band": F.lit("Theta"), "attribute": F.lit("Envelope"), "side": F.lit("mono")}).withColumn("subject", F.explode(F.array(F.lit("s0"), F.lit("s1"))))
+
+
+@_query(_ONE.replace("/ (n * vx / (sx * sx) + 1.0) as w from tr", "/ (n * vx / (sx * sx) + alpha) as w, subject from tr, (values ('s0', 100.0), ('s1', 1.0)) v(subject, alpha)") + """, p as (select subject, k, j.channel, (x - mx) / sx * w as p, (y - my) / sy as y from j join w on fold = k and j.channel = w.channel),
+r as (select subject, k, channel, covar_pop(p, y) / (stddev_samp(p) * stddev_samp(y)) as r from p group by 1, 2, 3),
+o as (select subject, 'mono' as side, cast(channel as integer) as channel, avg(r) as r_mean from r group by 1, 3)
+select g.side as side, g.subject as subject, channel, round(r_mean, 6) + 0 as r_mean from (select * from (values ('left'), ('mono')) a(side), (values ('s0'), ('s1')) b(subject)) g left join o on g.side = o.side and g.subject = o.subject""")
+def whole_analysis(spark, d):
+    """Run over the grid with a stored penalty for one subject, written and read again."""
+    alphas = spark.createDataFrame([("Theta", "Envelope", "mono", "s0", 100.0)], "band string, attribute string, side string, subject string, alpha double")
+    out = A.run(_cells(spark, d), _grid(spark), new_path(spark, "analysis"), Options((1,)), alphas)
+    return out.select("side", "subject", "channel", _r("r_mean").alias("r_mean"))
