@@ -87,6 +87,8 @@ class Encoder:
         # Where no piece has an ASCII mark beside a Latin letter or digit, paths converge there too.
         self.split = _CHUNK if any(_MIXED.search(t) for t in (self.halves if self.bpe else self.id_of)) else _FINE
         self.usable = {t for t in self.id_of if len(t) == 1 or not self.bpe or t in self.halves}
+        # Every ending of a usable piece, and whether it is one itself: no piece is longer than what is not here.
+        self.ending = {t[k:]: False for t in self.usable for k in range(len(t))} | dict.fromkeys(self.usable, True)
 
     # -- the lattice
 
@@ -137,9 +139,9 @@ class Encoder:
         # For each boundary from ``done`` on, the length of the path's last piece (None: no path).
         back: list[int | None] = [0]
         cost: dict[int, float] = {0: 0.0}
-        size, longest, done = len(chunk), self.longest, 0
+        size, longest, done, bpe, fitting = len(chunk), self.longest, 0, self.bpe, self._fitting
         for i in range(1, size + 1):
-            back.append(self._fitting(chunk, i, done, back) if self.bpe else self._cheapest(chunk, i, done, back, cost))
+            back.append(fitting(chunk, i, done, back) if bpe else self._cheapest(chunk, i, done, back, cost))
             if i < size and (i - done) % longest:
                 continue
             # Boundaries that a later piece can start from; their paths, walked back together.
@@ -154,19 +156,22 @@ class Encoder:
                 out.append(chunk[j - back[j - done] : j])
                 j -= back[j - done]
             yield from reversed(out)
-            for j in range(done, live[0]):
+            for j in () if self.bpe else range(done, live[0]):
                 cost.pop(j, None)
             back, done = back[live[0] - done :], live[0]
 
     def _fitting(self, chunk: str, i: int, done: int, back: list[int | None]) -> int | None:
         """BPE: the length of the one last piece that fits what is before it."""
-        usable, pairs = self.usable, self.pairs
+        ending, pairs = self.ending, self.pairs
         for j in range(i - 1, max(done, i - self.longest) - 1, -1):
             t = chunk[j:i]
-            if t not in usable and i - j > 1:
+            whole = ending.get(t)
+            if whole is None and i - j > 1:
+                return None
+            if not whole and i - j > 1:
                 continue
-            m = back[j - done]
             if j:
+                m = back[j - done]
                 if m is None:
                     continue
                 left = chunk[j - m : j]
