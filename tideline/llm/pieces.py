@@ -134,52 +134,51 @@ class Encoder:
             else:
                 until, left_undone, b = rb, False, self.halves[b][0]
 
-    def path(self, chunk: str) -> Iterator[str]:
-        """The pieces of the best path, each as soon as all surviving paths share it."""
-        # For each boundary from ``done`` on, the length of the path's last piece (None: no path).
+    def path(self, chunk: str) -> Iterator[list[str]]:
+        """The pieces of the best path, in lists, each as soon as all surviving paths share it."""
+        return self._bpe_path(chunk) if self.bpe else self._unigram_path(chunk)
+
+    def _bpe_path(self, chunk: str) -> Iterator[list[str]]:
+        ending, pairs, longest, size, done = self.ending, self.pairs, self.longest, len(chunk), 0
+        # For each boundary from ``done`` on, the one last piece that fits what is before it (None: no path).
+        last: list[str | None] = [""]
+        for i in range(1, size + 1):
+            found = None
+            for j in range(i - 1, max(done, i - longest) - 1, -1):
+                t = chunk[j:i]
+                whole = ending.get(t)
+                if not whole and j < i - 1:
+                    if whole is None:
+                        break
+                    continue
+                if j:
+                    left = last[j - done]
+                    if left is None:
+                        continue
+                    ok = pairs.get((left, t))
+                    if not (self._fits(left, t) if ok is None else ok):
+                        continue
+                found = t
+                break
+            last.append(found)
+            if i == size or not (i - done) % longest:
+                back = [x if x is None else len(x) for x in last]
+                common = i if i == size else _meeting(back, done, i, longest)
+                yield _walked(chunk, back, done, common)
+                last, done = last[common - done :], common
+
+    def _unigram_path(self, chunk: str) -> Iterator[list[str]]:
         back: list[int | None] = [0]
         cost: dict[int, float] = {0: 0.0}
-        size, longest, done, bpe, fitting = len(chunk), self.longest, 0, self.bpe, self._fitting
+        size, longest, done = len(chunk), self.longest, 0
         for i in range(1, size + 1):
-            back.append(fitting(chunk, i, done, back) if bpe else self._cheapest(chunk, i, done, back, cost))
-            if i < size and (i - done) % longest:
-                continue
-            # Boundaries that a later piece can start from; their paths, walked back together.
-            live = [j for j in range(max(done, i - longest), i + 1) if back[j - done] is not None] if i < size else [i]
-            while len(live) > 1:
-                j = live.pop()
-                before = max(done, j - back[j - done])
-                if before not in live:
-                    insort(live, before)
-            out, j = [], live[0]
-            while j > done:
-                out.append(chunk[j - back[j - done] : j])
-                j -= back[j - done]
-            yield from reversed(out)
-            for j in () if self.bpe else range(done, live[0]):
-                cost.pop(j, None)
-            back, done = back[live[0] - done :], live[0]
-
-    def _fitting(self, chunk: str, i: int, done: int, back: list[int | None]) -> int | None:
-        """BPE: the length of the one last piece that fits what is before it."""
-        ending, pairs = self.ending, self.pairs
-        for j in range(i - 1, max(done, i - self.longest) - 1, -1):
-            t = chunk[j:i]
-            whole = ending.get(t)
-            if whole is None and i - j > 1:
-                return None
-            if not whole and i - j > 1:
-                continue
-            if j:
-                m = back[j - done]
-                if m is None:
-                    continue
-                left = chunk[j - m : j]
-                ok = pairs.get((left, t))
-                if not (self._fits(left, t) if ok is None else ok):
-                    continue
-            return i - j
-        return None
+            back.append(self._cheapest(chunk, i, done, back, cost))
+            if i == size or not (i - done) % longest:
+                common = i if i == size else _meeting(back, done, i, longest)
+                yield _walked(chunk, back, done, common)
+                for j in range(done, common):
+                    cost.pop(j, None)
+                back, done = back[common - done :], common
 
     def _cheapest(self, chunk: str, i: int, done: int, back: list[int | None], cost: dict[int, float]) -> int | None:
         """Unigram: the length of the last piece of the path of greatest score; the longest on ties."""
@@ -197,12 +196,13 @@ class Encoder:
 
     def _ids(self, chunk: str) -> array:
         out = array("i")
-        for p in self.path(chunk):
-            i = self.id_of.get(p)
-            if i is not None:
-                out.append(i)
-            else:
-                out.extend([self.byte_id[b] for b in p.encode()])
+        for pieces in self.path(chunk):
+            for p in pieces:
+                i = self.id_of.get(p)
+                if i is not None:
+                    out.append(i)
+                else:
+                    out.extend([self.byte_id[b] for b in p.encode()])
         return out
 
     # -- texts
@@ -228,6 +228,26 @@ class Encoder:
         return text[1:] if text.startswith(" ") else text
 
 
+def _meeting(back: list[int | None], done: int, i: int, longest: int) -> int:
+    """The last boundary that the paths to all boundaries a later piece can start from have in common."""
+    live = [j for j in range(max(done, i - longest), i + 1) if back[j - done] is not None]
+    while len(live) > 1:
+        j = live.pop()
+        before = max(done, j - back[j - done])
+        if before not in live:
+            insort(live, before)
+    return live[0]
+
+
+def _walked(chunk: str, back: list[int | None], done: int, j: int) -> list[str]:
+    """The pieces from ``done`` to the boundary j."""
+    out = []
+    while j > done:
+        out.append(chunk[j - back[j - done] : j])
+        j -= back[j - done]
+    return out[::-1]
+
+
 _MARK, _LATIN = "!-/:-@\\[-`{-~", "0-9A-Za-z\u00c0-\u024f"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _REST = f"(?![^{SPACE}{_LATIN}{_MARK}])"
