@@ -297,3 +297,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+
+
+SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+place AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {WORDS - 1}) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least({WORDS}, len(w)) - 1], ' ') AS g FROM place),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= {PERCENT} * (x.n + y.n - k)),
+b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r(doc_id, low) AS (SELECT doc_id, doc_id FROM d UNION SELECT b.v, r.low FROM r JOIN b ON b.u = r.doc_id WHERE r.low < b.v)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.low AS component_id, d.doc_id = c.low AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT doc_id, min(low) AS low FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id
+"""

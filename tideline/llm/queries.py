@@ -16,4 +16,8 @@ QUERIES = {
     "op9_sentencepiece": pieces.query,
     "op10_quality_rules": quality.query,
 }
-ORACLE: dict[str, str] = {"op7_benchmark_decontamination": decontaminate.SQL}
+ORACLE: dict[str, str] = {
+    "op1_minhash_near_dedup": neardup.SQL,
+    "op7_benchmark_decontamination": decontaminate.SQL,
+    "op10_quality_rules": quality.SQL,
+}
