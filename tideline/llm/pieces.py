@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Spans remembered by a worker, and their longest; the cache is emptied when it is full.
-REMEMBERED, CACHED = 600_000, 64
+#: Spans remembered by a worker, their longest, and neighbours remembered; a full cache is emptied.
+REMEMBERED, CACHED, PAIRS = 500_000, 64, 400_000
 
 
 def default_model() -> str:
@@ -77,7 +77,7 @@ class Encoder:
         self.normal = sp.normalize
         self.unknown = min(self.score.values(), default=0.0) - 10
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.chunks: dict[str, array] = {}
+        self.chunks: dict[str, bytes] = {}
         # BPE: how a piece came about (its last two parts); pieces that never form are left out.
         self.halves: dict[str, tuple[str, str]] = {}
         if self.bpe:
@@ -110,7 +110,7 @@ class Encoder:
         """Whether BPE leaves two neighbouring pieces as they are; remembered."""
         got = self.pairs.get((left, right))
         if got is None:
-            if len(self.pairs) > 4 * REMEMBERED:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             got = self.pairs[left, right] = self._apart(left, right)
         return got
@@ -194,7 +194,7 @@ class Encoder:
             cost[i] = best[0]
         return best and best[1]
 
-    def _ids(self, chunk: str) -> array:
+    def _ids(self, chunk: str) -> bytes:
         out = array("i")
         for pieces in self.path(chunk):
             for p in pieces:
@@ -203,7 +203,7 @@ class Encoder:
                     out.append(i)
                 else:
                     out.extend([self.byte_id[b] for b in p.encode()])
-        return out
+        return out.tobytes()
 
     # -- texts
 
@@ -219,7 +219,7 @@ class Encoder:
                 ids = self._ids(chunk)
                 if len(chunk) <= CACHED:
                     known[chunk] = ids
-            out += ids
+            out.frombytes(ids)
         return np.frombuffer(out, np.int32) if out else np.zeros(0, np.int32)
 
     def decode(self, ids) -> str:
