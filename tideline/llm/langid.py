@@ -314,7 +314,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(name, shared)
         m = scorer.m
-        for b in batches:
+        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, max(1, whole.num_rows), 1000)):
             texts = b.column("text").to_pylist()
             lang = np.full(len(texts), "und", object)
             score, low, bad = np.zeros(len(texts)), np.full(len(texts), np.nan), np.ones(len(texts), bool)

@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Spans remembered by a worker, their longest, and neighbours remembered; a full cache is emptied.
-REMEMBERED, CACHED, PAIRS = 500_000, 64, 400_000
+#: Spans remembered within a task, their longest, and neighbours remembered; a full cache is emptied.
+REMEMBERED, CACHED, PAIRS = 300_000, 64, 300_000
 
 
 def default_model() -> str:
@@ -222,6 +222,11 @@ class Encoder:
             out.frombytes(ids)
         return np.frombuffer(out, np.int32) if out else np.zeros(0, np.int32)
 
+    def forget(self) -> None:
+        """Empties the caches, so a worker that goes on to other work doesn't hold them."""
+        self.chunks.clear()
+        self.pairs.clear()
+
     def decode(self, ids) -> str:
         raw = self.raw
         text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
@@ -284,6 +289,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
                 size = np.array([len(x) for x in ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(size), pa.array(same)], [*batch.schema.names, *names])
+        enc.forget()
 
     return keep.mapInArrow(run, schema)
 
