@@ -38,9 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Spans of at most CACHED characters, and neighbours, remembered by a worker in two generations each: what a
-#: full generation holds and is not asked for while the next one fills is forgotten.
-REMEMBERED, CACHED, PAIRS = 150_000, 64, 150_000
+#: Spans remembered within a task, their longest, and neighbours remembered; a full cache is emptied.
+REMEMBERED, CACHED, PAIRS = 300_000, 64, 300_000
 
 
 def default_model() -> str:
@@ -79,8 +78,6 @@ class Encoder:
         self.unknown = min(self.score.values(), default=0.0) - 10
         self.pairs: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, bytes] = {}
-        self.old_pairs: dict[tuple[str, str], bool] = {}
-        self.old_chunks: dict[str, bytes] = {}
         # BPE: how a piece came about (its last two parts); pieces that never form are left out.
         self.halves: dict[str, tuple[str, str]] = {}
         if self.bpe:
@@ -113,11 +110,9 @@ class Encoder:
         """Whether BPE leaves two neighbouring pieces as they are; remembered."""
         got = self.pairs.get((left, right))
         if got is None:
-            if len(self.pairs) > PAIRS:  # emptied in place: the loop that asks holds the dict
-                self.old_pairs = dict(self.pairs)
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            got = self.old_pairs.get((left, right))
-            got = self.pairs[left, right] = self._apart(left, right) if got is None else got
+            got = self.pairs[left, right] = self._apart(left, right)
         return got
 
     def _apart(self, a: str, b: str) -> bool:
@@ -214,21 +209,24 @@ class Encoder:
 
     def encode(self, text: str | None) -> np.ndarray:
         out = array("i")
-        if len(self.chunks) > REMEMBERED:
-            self.old_chunks, self.chunks = self.chunks, {}
-        known, old = self.chunks, self.old_chunks
+        known = self.chunks
+        if len(known) > REMEMBERED:
+            known.clear()
         for m in self.split.finditer(self.normal(text) if text else ""):
             chunk = m.group()
             ids = known.get(chunk)
             if ids is None:
-                ids = old.get(chunk)
-                if ids is None:
-                    ids = self._ids(chunk)
+                ids = self._ids(chunk)
                 if len(chunk) <= CACHED:
                     known[chunk] = ids
             out.frombytes(ids)
         return np.frombuffer(out, np.int32) if out else np.zeros(0, np.int32)
 
+    def forget(self) -> None:
+        """Empties the caches, so a worker that goes on to other work doesn't hold them."""
+        self.chunks.clear()
+        self.pairs.clear()
+
     def decode(self, ids) -> str:
         raw = self.raw
         text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
@@ -291,6 +289,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
                 size = np.array([len(x) for x in ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(size), pa.array(same)], [*batch.schema.names, *names])
+        enc.forget()
 
     return keep.mapInArrow(run, schema)
 
