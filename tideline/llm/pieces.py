@@ -9,7 +9,8 @@ Unigram models take the path of greatest score. For BPE models scores are merge
 their sum says nothing, so the path is the one whose neighbouring pieces are all merged as
 the model merges them: a sequence of pieces is what BPE yields if and only if each pair of
 neighbours is what BPE yields for the pair alone, and each boundary has exactly one such
-last piece. (Pairs are checked once a worker and remembered.) This gives the library's ids;
+last piece. (Pairs are checked once and remembered; an automaton of all pieces, read as a
+stream, tells which end at a boundary.) This gives the library's ids;
 characters outside the vocabulary become byte pieces.
 
 Spaces are written as U+2581, with one put before the text, as the model has it. A piece
@@ -18,7 +19,7 @@ character and U+2581 out: all paths converge there. The same holds between ASCII
 Latin letters or digits if no piece has them side by side. So the stream over a text is cut at
 these certain boundaries as it is read; what lies between two of them goes through the Viterbi
 (``path``), and the ids of spans of at most ``CACHED`` characters are kept in a cache in front of
-it, which changes no id. Neither a list of spans nor a lattice of the text is ever held.
+it, which changes no id. At most ``SPANS`` spans are held at once, and never a lattice of the text.
 
 Defined results. Null or empty text: no ids. Ties of unigram paths go to the longer last
 piece. Repeated rows: one row each. Further columns are kept by ``encode`` and ignored by
@@ -28,10 +29,13 @@ the query; an empty table gives an empty result. Whole texts are encoded, of any
 from __future__ import annotations
 
 import re
+import sys
 from array import array
 from bisect import insort
 from collections.abc import Iterator
+from itertools import chain, filterfalse, islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +44,8 @@ from pyspark.sql import types as T
 SPACE = "▁"
 #: Spans remembered within a task, their longest, and neighbours remembered; a full cache is emptied.
 REMEMBERED, CACHED, PAIRS = 300_000, 64, 300_000
+#: Spans looked up at once, and characters that the automaton reads at once.
+SPANS, BLOCK = 512, 4096
 
 
 def default_model() -> str:
@@ -76,7 +82,7 @@ class Encoder:
         self.bpe = _is_bpe(path)
         self.normal = sp.normalize
         self.unknown = min(self.score.values(), default=0.0) - 10
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by both numbers: piece ids, and above them code points outside the vocabulary
         self.chunks: dict[str, bytes] = {}
         # BPE: how a piece came about (its last two parts); pieces that never form are left out.
         self.halves: dict[str, tuple[str, str]] = {}
@@ -87,8 +93,12 @@ class Encoder:
         # Where no piece has an ASCII mark beside a Latin letter or digit, paths converge there too.
         self.split = _CHUNK if any(_MIXED.search(t) for t in (self.halves if self.bpe else self.id_of)) else _FINE
         self.usable = {t for t in self.id_of if len(t) == 1 or not self.bpe or t in self.halves}
-        # Every ending of a usable piece, and whether it is one itself: no piece is longer than what is not here.
-        self.ending = {t[k:]: False for t in self.usable for k in range(len(t))} | dict.fromkeys(self.usable, True)
+        # Lengths by number; the one after the last, which -1 finds, is longer than any piece or text.
+        self.length = [len(t) for t in self.piece] + [sys.maxsize]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for t in self.usable:
+            self.automaton.add_word(t, self.id_of[t])
+        self.automaton.make_automaton()
 
     # -- the lattice
 
@@ -106,13 +116,16 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _fits(self, left: str, right: str) -> bool:
+    def _fits(self, left: int, right: int) -> bool:
         """Whether BPE leaves two neighbouring pieces as they are; remembered."""
-        got = self.pairs.get((left, right))
+        key = left << 22 | right
+        got = self.pairs.get(key)
         if got is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            got = self.pairs[left, right] = self._apart(left, right)
+            own = len(self.piece)
+            a, b = (self.piece[n] if n < own else chr(n - own) for n in (left, right))
+            got = self.pairs[key] = self._apart(a, b)
         return got
 
     def _apart(self, a: str, b: str) -> bool:
@@ -139,33 +152,66 @@ class Encoder:
         return self._bpe_path(chunk) if self.bpe else self._unigram_path(chunk)
 
     def _bpe_path(self, chunk: str) -> Iterator[list[str]]:
-        ending, pairs, longest, size, done = self.ending, self.pairs, self.longest, len(chunk), 0
-        # For each boundary from ``done`` on, the one last piece that fits what is before it (None: no path).
-        last: list[str | None] = [""]
-        for i in range(1, size + 1):
-            found = None
-            for j in range(i - 1, max(done, i - longest) - 1, -1):
-                t = chunk[j:i]
-                whole = ending.get(t)
-                if not whole and j < i - 1:
-                    if whole is None:
-                        break
+        pairs, length, longest, size = self.pairs, self.length, self.longest, len(chunk)
+        # For each boundary from ``done`` to ``at``, the one last piece that fits what is before it (None: no path).
+        last: list[int | None] = [0]
+        done = at = 0
+        stop = min(size, longest)
+        for end, n in chain.from_iterable(self._endings(chunk)):
+            if end < at:
+                continue
+            while at < end:  # no piece led to the boundary after ``at``
+                last.append(self._lone(chunk[at], last[-1], at))
+                at += 1
+                if at == stop:
+                    out, done = self._committed(chunk, last, done, at)
+                    stop = min(size, at + longest)
+                    yield out
+            j = end + 1 - length[n]
+            if j < done:
+                continue
+            if j:
+                left = last[j - done]
+                if left is None:
                     continue
-                if j:
-                    left = last[j - done]
-                    if left is None:
-                        continue
-                    ok = pairs.get((left, t))
-                    if not (self._fits(left, t) if ok is None else ok):
-                        continue
-                found = t
-                break
-            last.append(found)
-            if i == size or not (i - done) % longest:
-                back = [x if x is None else len(x) for x in last]
-                common = i if i == size else _meeting(back, done, i, longest)
-                yield _walked(chunk, back, done, common)
-                last, done = last[common - done :], common
+                ok = pairs.get(left << 22 | n)
+                if not (self._fits(left, n) if ok is None else ok):
+                    continue
+            last.append(n)
+            at += 1
+            if at == stop:
+                out, done = self._committed(chunk, last, done, at)
+                stop = min(size, at + longest)
+                yield out
+                if at == size:
+                    return
+
+    def _endings(self, chunk: str) -> Iterator:
+        """The usable pieces that end at each character, as (its position, number); at last the
+        text's end, with the number of a piece too long to fit. One automaton reads block by block."""
+        found = self.automaton.iter(chunk[:BLOCK])
+        yield found
+        for at in range(BLOCK, len(chunk), BLOCK):
+            found.set(chunk[at : at + BLOCK])
+            yield found
+        yield ((len(chunk), -1),)
+
+    def _lone(self, char: str, left: int | None, at: int) -> int | None:
+        """The number of a character outside the vocabulary, if a path leads to it."""
+        if char in self.usable or left is None:
+            return None
+        n = len(self.piece) + ord(char)
+        return n if not at or self._fits(left, n) else None
+
+    def _committed(self, chunk: str, last: list[int | None], done: int, at: int) -> tuple[list[str], int]:
+        """The pieces up to the boundary that all surviving paths share, and that boundary;
+        ``last`` is shortened to what is after it."""
+        own, length = len(self.piece), self.length
+        back = [None if n is None else length[n] if n < own else 1 for n in last]
+        common = at if at == len(chunk) else _meeting(back, done, at, self.longest)
+        out = _walked(chunk, back, done, common)
+        del last[: common - done]
+        return out, common
 
     def _unigram_path(self, chunk: str) -> Iterator[list[str]]:
         back: list[int | None] = [0]
@@ -210,16 +256,16 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray:
         out = array("i")
         known = self.chunks
-        if len(known) > REMEMBERED:
-            known.clear()
-        for m in self.split.finditer(self.normal(text) if text else ""):
-            chunk = m.group()
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._ids(chunk)
-                if len(chunk) <= CACHED:
-                    known[chunk] = ids
-            out.frombytes(ids)
+        spans = map(re.Match.group, self.split.finditer(self.normal(text) if text else ""))
+        while block := list(islice(spans, SPANS)):
+            if len(known) > REMEMBERED:
+                known.clear()
+            for chunk in filterfalse(known.__contains__, block):
+                known[chunk] = self._ids(chunk)
+            out.frombytes(b"".join(map(known.__getitem__, block)))
+            for chunk in block:
+                if len(chunk) > CACHED:
+                    known.pop(chunk, None)
         return np.frombuffer(out, np.int32) if out else np.zeros(0, np.int32)
 
     def forget(self) -> None:
@@ -229,7 +275,7 @@ class Encoder:
 
     def decode(self, ids) -> str:
         raw = self.raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
