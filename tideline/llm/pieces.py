@@ -206,10 +206,16 @@ class Encoder:
     def _committed(self, chunk: str, last: list[int | None], done: int, at: int) -> tuple[list[str], int]:
         """The pieces up to the boundary that all surviving paths share, and that boundary;
         ``last`` is shortened to what is after it."""
-        own, length = len(self.piece), self.length
-        back = [None if n is None else length[n] if n < own else 1 for n in last]
-        common = at if at == len(chunk) else _meeting(back, done, at, self.longest)
-        out = _walked(chunk, back, done, common)
+        piece, length, own = self.piece, self.length, len(self.piece)
+        common = at
+        if at < len(chunk):
+            common = _meeting([None if n is None else length[n] if n < own else 1 for n in last], done, at, self.longest)
+        out, k = [], common - done
+        while k > 0:
+            n = last[k]
+            out.append(piece[n] if n < own else chr(n - own))
+            k -= length[n] if n < own else 1
+        out.reverse()
         del last[: common - done]
         return out, common
 
@@ -260,12 +266,14 @@ class Encoder:
         while block := list(islice(spans, SPANS)):
             if len(known) > REMEMBERED:
                 known.clear()
+            long = []
             for chunk in filterfalse(known.__contains__, block):
                 known[chunk] = self._ids(chunk)
-            out.frombytes(b"".join(map(known.__getitem__, block)))
-            for chunk in block:
                 if len(chunk) > CACHED:
-                    known.pop(chunk, None)
+                    long.append(chunk)
+            out.frombytes(b"".join(map(known.__getitem__, block)))
+            for chunk in long:
+                del known[chunk]
         return np.frombuffer(out, np.int32) if out else np.zeros(0, np.int32)
 
     def forget(self) -> None:
