@@ -68,19 +68,18 @@ def _parts(benchmark: DataFrame, size: int, limit: int) -> Iterator[list[tuple]]
 class Patterns:
     """A broadcast part of the patterns; each worker builds its automaton once and holds one at a time."""
 
-    _built: tuple = (None, None)
-
     def __init__(self, spark: SparkSession, part: list[tuple]):
         self.name, self.shared = uuid.uuid4().hex, spark.sparkContext.broadcast(part)
 
     def automaton(self) -> ahocorasick.Automaton:
-        if Patterns._built[0] != self.name:
-            a = ahocorasick.Automaton()
-            for key, n, ids in self.shared.value:
-                a.add_word(key.decode("latin-1"), (len(key), n, ids))
-            a.make_automaton()
-            Patterns._built = (self.name, a)
-        return Patterns._built[1]
+        return K.kept(self.name, self._build)
+
+    def _build(self) -> ahocorasick.Automaton:
+        a = ahocorasick.Automaton()
+        for key, n, ids in self.shared.value:
+            a.add_word(key.decode("latin-1"), (len(key), n, ids))
+        a.make_automaton()
+        return a
 
 
 def scan(block: K.Block, automaton: ahocorasick.Automaton) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple]]]:
@@ -167,7 +166,7 @@ def _hits(docs: DataFrame, parts: Iterator[list]) -> DataFrame:
 
     for part in parts:
         patterns = Patterns(docs.sparkSession, part)
-        got = texts.mapInArrow(run_of(patterns), "text_hash long, ranges array<struct<first: long, words: long>>, items array<string>")
+        got = texts.mapInArrow(K.task("decontaminate", run_of(patterns)), "text_hash long, ranges array<struct<first: long, words: long>>, items array<string>")
         # Copies of a text have the same matches; one of them is kept.
         got = stored(got.groupBy("text_hash").agg(F.first("ranges").alias("ranges"), F.first("items").alias("items")), "hits")
         patterns.shared.destroy()
@@ -188,7 +187,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
                     rows = [(b, e, found, {i for x in found for i in x[2]}) for _, b, e, found in scan(block, a)]
                     yield _result(batch.column(0)[part.start : part.stop], rows)
 
-        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SCHEMA)
+        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.task("decontaminate", run), _SCHEMA)
 
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +203,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
 
     hits = _hits(docs, several).groupBy("text_hash").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    return rows.join(hits, "text_hash", "left").select("doc_id", "text", "ranges", "items").mapInArrow(united, _SCHEMA)
+    return rows.join(hits, "text_hash", "left").select("doc_id", "text", "ranges", "items").mapInArrow(K.task("decontaminate", united), _SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = MAX_ITEM_BYTES) -> DataFrame:
@@ -222,7 +221,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: in
             keep = [not found for _, block in K.blocks(batch.column("text")) for _, _, _, found in scan(block, a)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.task("decontaminate", run), docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ folded to a-z where asked) and, for different words, collide with chance 2**-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -60,6 +62,48 @@ def _byte_values(fold: bool) -> np.ndarray:
     return v
 
 
+# What a worker keeps between tasks: the operator it works for, and one named thing of it.
+_owner: list[str] = [""]
+_kept: list = [None, None]
+
+
+def kept(name: str, build: Callable):
+    """The thing of this name, built if the worker doesn't hold it; a worker holds one at a time."""
+    if _kept[0] != name:
+        _kept[:] = None, None
+        _kept[:] = name, build()
+    return _kept[1]
+
+
+def _enter(owner: str) -> None:
+    """A worker that turns to another operator forgets what it kept for the one before."""
+    if _owner[0] != owner:
+        _owner[0] = owner
+        _kept[:] = None, None
+        gc.collect()
+
+
+def _leave() -> None:
+    """Gives freed memory back to the system, as an idle worker shares its executor with others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def task(owner: str, run: Callable) -> Callable:
+    """``run`` over Arrow batches as one operator's task: enters, and leaves however it ends."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _enter(owner)
+        try:
+            yield from run(batches)
+        finally:
+            _leave()
+
+    return bounded
+
+
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 

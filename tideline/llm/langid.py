@@ -231,14 +231,9 @@ class Scorer:
         return cost
 
 
-_scorer: list = [None, None]
-
-
 def scorer_of(name: str, shared: Broadcast) -> Scorer:
     """A worker's scorer of a broadcast model; its table of costs serves all tasks of the worker."""
-    if _scorer[0] != name:
-        _scorer[:] = name, Scorer(shared.value)
-    return _scorer[1]
+    return K.kept(name, lambda: Scorer(shared.value))
 
 
 def _lead(ent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,7 +260,7 @@ def train(labelled: DataFrame, chars: int = TRAIN_CHARS) -> Model:
     rate = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, chars / sums[k]))))
     place = F.pmod(F.xxhash64(F.lit("pick"), "doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     picked = rows.withColumn("place", place / rate[F.col("lang")]).where("place < 1")
-    grams = picked.where("place < 0.8").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
+    grams = picked.where("place < 0.8").select("lang", "text").mapInArrow(K.task("langid", _count), "lang string, gram long, n long")
     got = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     tables, floor = [], []
     for k in langs:
@@ -286,7 +281,7 @@ def train(labelled: DataFrame, chars: int = TRAIN_CHARS) -> Model:
             right = np.array(shared.value.langs, object)[best] == lang
             yield pa.RecordBatch.from_arrays([pa.array(lang[ok], pa.string()), pa.array(right[ok]), pa.array(low[ok]), pa.array(np.where(np.isfinite(lead), lead, 1.0)[ok]), pa.array(lens[ok])], ["lang", "right", "low", "lead", "size"])
 
-    seen = picked.where("place >= 0.8").select("lang", "text").mapInArrow(check, "lang string, right boolean, low double, lead double, size long").toPandas()
+    seen = picked.where("place >= 0.8").select("lang", "text").mapInArrow(K.task("langid", check), "lang string, right boolean, low double, lead double, size long").toPandas()
     model.slope = _slope(seen.lead.to_numpy(float), seen.right.to_numpy(bool))
     right = seen[seen.right]
     model.calibrate(np.searchsorted(np.array(langs, object), right.lang.to_numpy(object)), right.low.to_numpy(float), right["size"].to_numpy(float))
@@ -330,7 +325,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             cols = [*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(low, mask=np.isnan(low)), pa.array(bad)]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, *names])
 
-    return docs.drop(*names).mapInArrow(run, schema)
+    return docs.drop(*names).mapInArrow(K.task("langid", run), schema)
 
 
 def held_out() -> Column:

@@ -131,7 +131,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
     """(doc_id, text_hash, n_shingles, node, bands, bins): the set's size and hash, its band keys, and
     the low byte of each bin's value."""
-    return _rows(docs).mapInArrow(lambda it: _sketches(it, bands, rows, words), "doc_id long, text_hash long, n_shingles long, node long, bands array<long>, bins binary")
+    return _rows(docs).mapInArrow(K.task("neardup", lambda it: _sketches(it, bands, rows, words)), "doc_id long, text_hash long, n_shingles long, node long, bands array<long>, bins binary")
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int
     centers = chunks.select("center", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("center").alias("node"))
     rows = leaves.union(centers).join(texts, "node").select("center", "chunk", (F.col("node") != F.col("center")).alias("leaf"), "node", "text")
     rows = rows.repartition("center", "chunk").sortWithinPartitions("center", "chunk", "leaf")
-    return rows.mapInArrow(lambda it: _confirmed(it, words, percent), "u long, v long")
+    return rows.mapInArrow(K.task("neardup", lambda it: _confirmed(it, words, percent)), "u long, v long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -255,9 +255,9 @@ def search(members: DataFrame, roots: DataFrame, classes: DataFrame, texts: Data
     run = ["key", "i", "j"]
     full = dealt.join(classes.select("node", "n", "bins"), "node").select(*run, "side", "node", "root", "n", "bins")
     full = full.repartition(*run).sortWithinPartitions(*run)
-    near = stored(full.mapInArrow(lambda it: _searched(it, percent, cutoff), full.schema), "near")
+    near = stored(full.mapInArrow(K.task("neardup", lambda it: _searched(it, percent, cutoff)), full.schema), "near")
     near = near.join(texts, "node").select(*full.columns, "text").repartition(*run).sortWithinPartitions(*run)
-    return near.mapInArrow(lambda it: _linked(it, words, percent, cutoff), "u long, v long")
+    return near.mapInArrow(K.task("neardup", lambda it: _linked(it, words, percent, cutoff)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, percent: int = PERCENT, cutoff: float = CUTOFF) -> DataFrame:

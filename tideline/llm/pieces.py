@@ -41,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tideline.llm import kernel as K
+
 SPACE = "▁"
 #: Spans remembered within a task, their longest, and neighbours remembered; a full cache is emptied.
 REMEMBERED, CACHED, PAIRS = 300_000, 64, 300_000
@@ -312,13 +314,10 @@ _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _REST = f"(?![^{SPACE}{_LATIN}{_MARK}])"
 _FINE = re.compile(f"{SPACE}*+(?:[{_LATIN}]++{_REST}|[{_MARK}]++{_REST}|[^{SPACE}]++)|{SPACE}++")
 _MIXED = re.compile(f"[{_MARK}][{_LATIN}]|[{_LATIN}][{_MARK}]")
-_loaded: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    return K.kept(path, lambda: Encoder(path))
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -345,7 +344,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(size), pa.array(same)], [*batch.schema.names, *names])
         enc.forget()
 
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(K.task("pieces", run), schema)
 
 
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
@@ -359,7 +358,7 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
             text = [None if x is None else enc.decode(x) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, "text"])
 
-    return keep.mapInArrow(run, T.StructType([*keep.schema.fields, T.StructField("text", T.StringType())]))
+    return keep.mapInArrow(K.task("pieces", run), T.StructType([*keep.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
