@@ -9,21 +9,24 @@ Filter. A count c is held as the level 1 + floor(log c / log ``BASE``): the entr
 (n-gram, 1) to (n-gram, level) are put into the segment of its part, ``BITS`` bits an
 entry. A count is read by probing level after level until one is missing. All words and
 pairs are held, at every size. Up to ``MAX_FILTER`` bytes the filter is broadcast. A larger one
-stays a table: the different n-grams of each ``BLOCK_TOKENS`` tokens of text are dealt to the
-parts, probed where the segments lie, and their levels go back to the texts. Both ways give the
-same levels. Parts grow with the input so that one is always summed in bounded memory; a task
-takes several of them in turn past ``MAX_TASKS``.
+stays a table and is dealt to. Both ways give the same levels. Parts grow with the input so that
+one is always summed in bounded memory; a task takes several of them in turn past ``MAX_TASKS``.
+
+Dealing. Each ``BLOCK_TOKENS`` tokens of text are stored as places in their different words,
+packed. The different words and pairs of a block are dealt to the parts, probed where the
+segments lie, and their levels, with the words' exact counts, go back to the block. ``learned``
+counts the training texts of the same deal, so that a corpus that trains its own model is dealt
+once; the query does so at every size, and its disk grows with the texts alone.
 
 Probabilities. p(w | v) = l * c(v w) / c(v) + (1 - l) * p(w), with p(w) the base formula on
 the filter's counts and l depending on the level of c(v); the weights maximise the
 likelihood of all training texts, each place left out of its own counts; the places are first
 counted by (level of v, level of w, level of the pair), so that the weights need one histogram.
-A text begins after the end token. The query probes each text once: the levels are written, a
-byte a token and pair, and read for the weights and for the scores.
+A text begins after the end token. The query's levels are written, a byte a token and pair, and
+read for the weights and for the scores.
 
-The base uses exact counts: the table of words is broadcast while it is within
-``MAX_WORDS`` entries, else the words of each different text are joined to it; both ways give
-the same figures up to rounding.
+The base uses exact counts: the table of words is broadcast while it is within ``MAX_WORDS``
+entries and the filter is, else texts are dealt; both ways give the same figures up to rounding.
 
 Defined results. Null or empty text: the end token only. Null doc_id: not held out, so it
 trains. Repeated rows: one row each, each trains. No training rows: all counts 0, N = 0.
@@ -33,6 +36,7 @@ Further columns are ignored; an empty table gives an empty result. Hashes have 6
 from __future__ import annotations
 
 import copy
+import gc
 import math
 import uuid
 from collections.abc import Iterator
@@ -45,7 +49,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import kernel as K
-from tideline.plans.scratch import stored
+from tideline.plans.scratch import drop, stored
 
 BASE, BITS, PROBES = 1.5, 10, 6
 PART_TOKENS, BLOCK_TOKENS = 1_500_000, 1_500_000
@@ -54,11 +58,15 @@ END = K.U(0x1234567DEADBEEF1)
 WEIGHTS = np.array([0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
 LEVELS = 64
 LEVELLED = "doc_id long, text_hash long, n_tokens long, n_known long, base_score double, words binary, pairs binary"
-ASKED = "block string, part int, data binary, at binary, doc_id array<long>, text_hash array<long>, n_tokens array<long>, n_known array<long>, base_score array<double>"
+BLOCKS = "block string, words binary, at binary, doc_id array<long>, text_hash array<long>, n_tokens array<long>, learn array<boolean>"
+DEALT = "part int, block string, words binary, times binary, pairs binary, twice binary, segment binary"
+ANSWERS = "block string, part int, words binary, times binary, pairs binary, n long, v long"
+ZSTD = pa.Codec("zstd", compression_level=1)
 
 
-def tokens(block: K.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each token (words, then the end), the pair with the token before, tokens a row."""
+
+def _tokens(block: K.Block) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each token (words, then the end), tokens a row."""
     s, e, rows = block.spans(K.SPACED)
     n = block.counts(rows) + 1
     ends = np.cumsum(n) - 1
@@ -66,8 +74,13 @@ def tokens(block: K.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = np.ones(len(w), bool)
     word[ends] = False
     w[word] = block.hashes(s, e)
-    before = np.concatenate([[END], w[:-1]])
-    return w, pair(before, w), n
+    return w, n
+
+
+def tokens(block: K.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each token, the pair with the token before, tokens a row."""
+    w, n = _tokens(block)
+    return w, pair(np.concatenate([[END], w[:-1]]), w), n
 
 
 def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -148,13 +161,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.concatenate([np.frombuffer(y, np.uint32) for _, y in rows] or [np.zeros(0, np.uint32)])
             got[kind] = _summed(h, n.astype(np.int64))
         words, counts = got[1]
-        h, q = np.concatenate([words, got[2][0]]), level(np.concatenate([counts, got[2][1]]))
-        bits = max(64, -(-int(q.sum()) * BITS // 64) * 64)
-        seg = np.zeros(bits, bool)
-        for j in range(1, int(q.max()) + 1 if len(q) else 1):
-            for pos in _places(h[q >= j], j, K.U(bits)):
-                seg[pos] = True
-        row = [part, int(counts.sum()), words.tobytes(), counts.astype(np.int64).tobytes(), np.packbits(seg, bitorder="little").tobytes()]
+        seg = _segment(np.concatenate([words, got[2][0]]), np.concatenate([counts, got[2][1]]))
+        row = [part, int(counts.sum()), words.tobytes(), counts.astype(np.int64).tobytes(), seg.tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "n", "words", "counts", "segment"])
 
     for batch in batches:
@@ -168,23 +176,38 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _places(h: np.ndarray, j: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
+def _segment(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The filter's segment of different n-grams and their counts."""
+    q = level(c)
+    bits = max(64, -(-int(q.sum()) * BITS // 64) * 64)
+    seg = np.zeros(bits, bool)
+    for j in range(1, int(q.max()) + 1 if len(q) else 1):
+        for pos in _places(h[q >= j], j, K.U(bits)):
+            seg[pos] = True
+    return np.packbits(seg, bitorder="little")
+
+
+def _places(h: np.ndarray, j: int, bits: np.ndarray | K.U) -> Iterator[np.ndarray]:
     """Where an entry's bits are in its segment (double hashing)."""
     a, b = K.mix(h, 100 + j), K.mix(h, 300 + j) | K.U(1)
     for i in range(PROBES):
-        yield ((a + K.U(i) * b) % bits).astype(np.int64)
+        x = a + K.U(i) * b
+        yield (x - x // bits * bits).astype(np.int64)  # numpy divides by one number faster than it takes remainders
 
 
-def _probed(h: np.ndarray, data: np.ndarray, begin: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The level of each n-gram, by repeated membership probes of its segment in ``data``."""
+def _probed(h: np.ndarray, data: np.ndarray, begin: np.ndarray | int, bits: np.ndarray | K.U) -> np.ndarray:
+    """The level of each n-gram, by repeated membership probes of its segment (or of one) in ``data``."""
     out, live = np.zeros(len(h), np.int64), np.arange(len(h))
     for j in range(1, LEVELS + 1):
         a, b = K.mix(h, 100 + j), K.mix(h, 300 + j) | K.U(1)
         for i in range(PROBES):
-            at = ((a + K.U(i) * b) % bits).astype(np.int64)
+            x = a + K.U(i) * b
+            at = (x - x // bits * bits).astype(np.int64)
             ok = (data[begin + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
             if not ok.all():
-                live, h, a, b, begin, bits = (x[ok] for x in (live, h, a, b, begin, bits))
+                live, h, a, b = (x[ok] for x in (live, h, a, b))
+                if isinstance(begin, np.ndarray):
+                    begin, bits = begin[ok], bits[ok]
             if not len(live):
                 return out
         out[live] = j
@@ -210,6 +233,12 @@ class Filter:
             out.shared, out.data = spark.sparkContext.broadcast(self.data), None
         return out
 
+    def light(self) -> Filter:
+        """The same without the bits."""
+        out = Filter(None, self.parts, self.n, self.v)
+        out.weights = self.weights
+        return out
+
     def levels(self, h: np.ndarray) -> np.ndarray:
         if not self.n:
             return np.zeros(len(h), np.int64)
@@ -228,10 +257,15 @@ def _base(w: np.ndarray, n: np.ndarray, f: Filter, words: tuple | None) -> tuple
     if words is None or not len(n):
         return np.zeros(len(n), np.int64), np.zeros(len(n))
     keys, counts = words
-    at = np.cumsum(n) - n
     u, back = np.unique(w, return_inverse=True)
     i = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
     c = np.where(keys[i] == u, counts[i], 0).astype(np.float64) if len(keys) else np.zeros(len(u))
+    return _summed_base(c, back, n, f)
+
+
+def _summed_base(c: np.ndarray, back: np.ndarray, n: np.ndarray, f: Filter) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the counts of different words, and which of them each token is."""
+    at = np.cumsum(n) - n
     return np.add.reduceat((c > 0)[back].astype(np.int64), at), np.add.reduceat((np.log10(c + 1) - math.log10(f.n + f.v + 1))[back], at)
 
 
@@ -254,78 +288,164 @@ def _held(batches: Iterator[pa.RecordBatch], f: Filter, words: Broadcast | None)
             yield _level_rows(own, n, *_base(w, n, f, words), _levels_of(f, w), _levels_of(f, p))
 
 
-def _asked(batches: Iterator[pa.RecordBatch], f: Filter, words: Broadcast | None) -> Iterator[pa.RecordBatch]:
-    """Rows to blocks: one row (part -1) of the block's texts as places in its different words, and its different n-grams in order, a row for each part."""
-    words = words and words.value
-    schema = pa.schema([("block", pa.string()), ("part", pa.int32()), ("data", pa.binary()), ("at", pa.binary()), *((c, pa.list_(pa.int64())) for c in ("doc_id", "text_hash", "n_tokens", "n_known")), ("base_score", pa.list_(pa.float64()))])
+def _record(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as a batch of a schema like ``DEALT``."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    names, types = zip(*(x.split(" ") for x in schema.split(", ")), strict=True)
+    types = [pa.list_(kinds[t[6:-1]]) if t.startswith("array<") else kinds[t] for t in types]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by byte: the lowest of all, then the next, so that the upper bytes of small ones pack well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _unplaned(x: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _steps(h: np.ndarray) -> bytes:
+    """Hashes in order as their differences, by byte."""
+    return _planes(np.diff(h, prepend=K.U(0)))
+
+
+def _unstepped(x: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(x, K.U), dtype=K.U)
+
+
+def _release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of ended jobs: Spark deletes them once the driver has collected
+    what refers to them. Those of the last job may still be referred to: call it after another one."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows to blocks: different words, the frequent ones first, and of each token its place among them, packed by byte."""
     held: list[tuple] = []
     size = 0
 
-    def out() -> Iterator[pa.RecordBatch]:
-        name = uuid.uuid4().hex
-        w, n, known, base = (np.concatenate([x[i] for x in held]) for i in range(1, 5))
-        uw, at = np.unique(w, return_inverse=True)
-        ids = [[y for x in held for y in x[0][i].to_pylist()] for i in range(2)]
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (name, -1, uw.tobytes(), at.astype(np.int32).tobytes(), *ids, n.tolist(), known.tolist(), base.tolist()), strict=True))], schema)
-        u = _ngrams(uw, w)[0]
-        for own in batched(_cuts(u, f.parts), 1024):
-            yield pa.RecordBatch.from_pylist([{"block": name, "part": k, "data": u[at].tobytes()} for k, at in own], schema)
+    def out() -> pa.RecordBatch:
+        uw, at, c = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True, return_counts=True)
+        order = np.argsort(-c, kind="stable")
+        place = np.empty(len(uw), np.uint32)
+        place[order] = np.arange(len(uw), dtype=np.uint32)
+        own = [[y for x in held for y in x[i]] for i in range(1, 5)]
+        return _record(BLOCKS, [(uuid.uuid4().hex, uw[order].tobytes(), ZSTD.compress(_planes(place[at]), asbytes=True), own[1], own[2], own[0], own[3])])
 
     for batch in batches:
         for part, block in K.blocks(batch.column(2)):
-            w, _, n = tokens(block)
-            held.append(([c[part.start : part.stop] for c in batch.columns[:2]], w, n, *_base(w, n, f, words)))
+            w, n = _tokens(block)
+            held.append((w, n.tolist(), *(batch.column(i)[part.start : part.stop].to_pylist() for i in (0, 1, 3))))
             size += len(w)
             if size > BLOCK_TOKENS:
-                yield from out()
+                yield out()
                 held, size = [], 0
     if held:
-        yield from out()
+        yield out()
+
+
+def _block_rows(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each block of a batch: its row, its different words, of each token its place among them, tokens a text."""
+    for i in range(batch.num_rows):
+        row = batch.slice(i, 1).to_pylist()[0]
+        n = np.array(row["n_tokens"], np.int64)
+        at = ZSTD.decompress(row["at"], 4 * int(n.sum()), asbytes=True)
+        yield row, np.frombuffer(row["words"], K.U), _unplaned(at, np.uint32), n
 
 
-def _ngrams(uw: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different words and pairs of texts on end, in order, and the pairs."""
+def _pairs(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts on end: the different pairs in order, the order of all pairs, where a pair is the first of its kind in it, and the pair each one is."""
     p = pair(np.concatenate([[END], w[:-1]]), w)
-    return np.unique(np.concatenate([uw, p])), p
+    order = np.argsort(p)
+    p = p[order]
+    new = np.concatenate([[True], p[1:] != p[:-1]])
+    first, which = np.flatnonzero(new), np.empty(len(p), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return p[first], order, first, which
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Blocks to their different words and pairs in order, with their counts in texts that train, a row for each part."""
+    for batch in batches:
+        for row, uw, at, n in _block_rows(batch):
+            own = np.repeat(np.array(row["learn"], bool), n)
+            order = np.argsort(uw)
+            words, times = uw[order], np.bincount(at[own], minlength=len(uw))[order].astype(np.uint32)
+            pairs, by, first, _ = _pairs(uw[at])
+            twice = np.add.reduceat(own[by], first, dtype=np.uint32)
+            edges = [np.searchsorted(_part(h, parts), np.arange(parts + 1, dtype=K.U)).tolist() for h in (words, pairs)]
+            some = [k for k in range(parts) if edges[0][k] < edges[0][k + 1] or edges[1][k] < edges[1][k + 1]]
+            for ks in batched(some, 64):
+                yield _record(DEALT, [(k, row["block"], *(to(x[e[k] : e[k + 1]]) for to, x, e in ((_steps, words, edges[0]), (_planes, times, edges[0]), (_steps, pairs, edges[1]), (_planes, twice, edges[1]))), None) for k in ks])
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of part, its segment (block null) before the n-grams asked for, to their levels."""
-    here, seg = None, np.zeros(0, np.uint8)
+    """Dealt rows in order of part, to the levels of their words and pairs and the counts of their words.
+
+    A part's model (block null: words, their counts, segment) comes before them; where none does, it
+    is made of their counts, and a row (block null) has its tokens n and different words v."""
+    part, given, held, size = None, None, [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        blocks = [x[0] for x in held]
+        h = [np.concatenate([_unstepped(x[i]) for x in held]) for i in (1, 3)]
+        u, back = zip(*(np.unique(x, return_inverse=True) for x in h), strict=True)
+        if given is None:
+            c = [np.concatenate([_unplaned(x[i], np.uint32) for x in held]) for i in (2, 4)]
+            total, more = (np.bincount(b, weights=n, minlength=len(x)).astype(np.int64) for b, n, x in zip(back, c, u, strict=True))
+            seg = _segment(np.concatenate([u[0][total > 0], u[1][more > 0]]), np.concatenate([total[total > 0], more[more > 0]]))
+            yield _record(ANSWERS, [(None, part, None, None, None, int(total.sum()), int((total > 0).sum()))])
+        else:
+            words, counts, seg = given
+            i = np.minimum(np.searchsorted(words, u[0]), max(0, len(words) - 1))
+            total = np.where(words[i] == u[0], counts[i], 0) if len(words) else np.zeros(len(u[0]), np.int64)
+        got = [_probed(x, seg, 0, K.U(8 * len(seg))).astype(np.uint8)[b] for x, b in zip(u, back, strict=True)]
+        got.insert(1, total[back[0]])
+        ends = [np.cumsum([0, *(len(x[i]) // 8 for x in held)]).tolist() for i in (1, 1, 3)]
+        for ks in batched(range(len(held)), 256):
+            yield _record(ANSWERS, [(blocks[k], part, *(x[e[k] : e[k + 1]].tobytes() for x, e in zip(got, ends, strict=True)), None, None) for k in ks])
+
     for batch in batches:
-        rows: list[tuple] = []
-        for part, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for k, block, *own, segment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and (k != part or given is not None and size > BLOCK_TOKENS):
+                yield from out()
+                held, size = [], 0
+            if k != part:
+                part, given = k, None
             if block is None:
-                here, seg = part, np.frombuffer(data, np.uint8)
+                given = np.frombuffer(own[0], K.U), np.frombuffer(own[1], np.int64), np.frombuffer(segment, np.uint8)
                 continue
-            h = np.frombuffer(data, K.U)
-            got = _probed(h, seg, np.zeros(len(h), np.int64), np.full(len(h), 8 * len(seg), K.U)) if part == here else np.zeros(len(h), np.int64)
-            rows.append((block, part, got.astype(np.uint8).tobytes()))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], ["block", "part", "data"])
+            held.append((block, *own))
+            size += (len(own[0]) + len(own[2])) // 8
+    if held:
+        yield from out()
 
 
-def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of block and part, the block's texts first and then the levels, to the levels of each text."""
-    texts, levels = None, []
+def _returned(batches: Iterator[pa.RecordBatch], f: Filter) -> Iterator[pa.RecordBatch]:
+    """Rows in order of block and part, the block itself first and then its answers, to the levels of each text."""
+    block, answers = None, []
 
     def out() -> pa.RecordBatch:
-        uw, at = np.frombuffer(texts["data"], K.U), np.frombuffer(texts["at"], np.int32)
-        u, p = _ngrams(uw, uw[at])
-        got = np.frombuffer(b"".join(levels), np.uint8)
-        n, known = (np.array(texts[c], np.int64) for c in ("n_tokens", "n_known"))
-        ids = [pa.array(texts[c], pa.int64()) for c in ("doc_id", "text_hash")]
-        return _level_rows(ids, n, known, np.array(texts["base_score"], np.float64), got[np.searchsorted(u, uw)][at], got[np.searchsorted(u, p)])
+        row, uw, at, n = block
+        order = np.argsort(uw)
+        lw, c = np.empty(len(uw), np.uint8), np.empty(len(uw), np.float64)
+        lw[order], c[order] = np.frombuffer(b"".join(x[0] for x in answers), np.uint8), np.frombuffer(b"".join(x[1] for x in answers), np.int64)
+        lp = np.frombuffer(b"".join(x[2] for x in answers), np.uint8)[_pairs(uw[at])[3]]
+        ids = [pa.array(row[c], pa.int64()) for c in ("doc_id", "text_hash")]
+        return _level_rows(ids, n, *_summed_base(c, at, n, f), lw[at], lp)
 
     for batch in batches:
         for i, part in enumerate(batch.column("part").to_pylist()):
             if part >= 0:
-                levels.append(batch.column("data")[i].as_py())
+                answers.append([batch.column(c)[i].as_py() for c in ("words", "times", "pairs")])
                 continue
-            if texts:
+            if block:
                 yield out()
-            texts, levels = batch.slice(i, 1).to_pylist()[0], []
-    if texts:
+            block, answers = next(_block_rows(batch.slice(i, 1))), []
+    if block:
         yield out()
 
 
@@ -333,23 +453,65 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("text_hash"), F.col("text").cast("string"))
 
 
+def _parts(chars: int) -> int:
+    return max(8, math.ceil(chars / 5 / PART_TOKENS))
+
+
 def _tasks(parts: int) -> int:
     return min(parts, MAX_TASKS)
 
 
+def _blocks(rows: DataFrame, learn: Column) -> DataFrame:
+    return stored(rows.withColumn("learn", F.coalesce(learn, F.lit(False))).mapInArrow(K.task("lm", _blocked), BLOCKS), "blocks")
+
+
+def _answers(blocks: DataFrame, parts: int, table: DataFrame | None = None) -> DataFrame:
+    """The answers of the parts to the blocks, from a model's table or else from the blocks' counts."""
+    dealt = blocks.mapInArrow(K.task("lm", lambda it: _dealt(it, parts)), DEALT)
+    if table is not None:
+        none = F.lit(None)
+        dealt = dealt.union(table.select("part", none.cast("string"), "words", "counts", none.cast("binary"), none.cast("binary"), "segment"))
+    return stored(dealt.repartition(_tasks(parts), "part").sortWithinPartitions("part", "block").mapInArrow(K.task("lm", _answered), ANSWERS), "answers", "zstd")
+
+
+def _levels(blocks: DataFrame, answers: DataFrame, f: Filter) -> DataFrame:
+    light = f.light()
+    both = blocks.drop("learn").withColumn("part", F.lit(-1)).unionByName(answers.where("block is not null").drop("n", "v"), allowMissingColumns=True)
+    return both.repartition(_tasks(f.parts), "block").sortWithinPartitions("block", "part").mapInArrow(K.task("lm", lambda it: _returned(it, light)), LEVELLED)
+
+
 def levelled(docs: DataFrame, model: Model, max_words: int = MAX_WORDS) -> DataFrame:
     """A row for each row of ``docs``: the filter's levels of its tokens and of their pairs, a
-    byte each; n_known and base_score are 0 past ``max_words`` words."""
+    byte each. Texts are dealt past ``max_words`` words; if that is negative, they needn't be,
+    and n_known and base_score may be 0."""
     spark, rows = docs.sparkSession, _rows(docs)
-    f = model.filter.sent(spark)
+    f = model.filter
+    if f.spread or 0 <= max_words < f.v:
+        blocks = _blocks(rows, F.lit(False))
+        return _levels(blocks, _answers(blocks, f.parts, model.table), f)
     words = spark.sparkContext.broadcast(_words(model)) if f.v <= max_words else None
-    if not f.spread:
-        return rows.mapInArrow(lambda it: _held(it, f, words), LEVELLED)
-    asked = stored(rows.mapInArrow(lambda it: _asked(it, f, words), ASKED), "asked")
-    both = asked.where("part >= 0").select("part", "block", "data").union(model.table.select("part", F.lit(None).cast("string"), "segment"))
-    answers = both.repartition(_tasks(f.parts), "part").sortWithinPartitions("part", "block").mapInArrow(_answered, "block string, part int, data binary")
-    back = asked.where("part < 0").unionByName(answers, allowMissingColumns=True)
-    return back.repartition(_tasks(f.parts), "block").sortWithinPartitions("block", "part").mapInArrow(_returned, LEVELLED)
+    f = f.sent(spark)
+    return rows.mapInArrow(lambda it: _held(it, f, words), LEVELLED)
+
+
+def learned(docs: DataFrame, learn: Column) -> tuple[DataFrame, Filter]:
+    """The levels of the rows of ``docs`` by a model of those where ``learn`` (a condition on
+    doc_id) holds, and what scoring needs of that model: the same as of ``train`` and ``levelled``."""
+    rows = _rows(docs)
+    size = F.octet_length("text")
+    own, chars = rows.agg(F.sum(F.when(learn, size)), F.sum(size)).first()
+    parts = _parts(max(own or 0, (chars or 0) // 2))
+    blocks = _blocks(rows, learn)
+    answers = _answers(blocks, parts)
+    n, v = answers.where("block is null").agg(F.sum("n"), F.sum("v")).first()
+    _release(docs.sparkSession)
+    f = Filter(None, parts, n or 0, v or 0)
+    levels = stored(_levels(blocks, answers, f), "levels", "zstd")
+    drop(blocks, answers)
+    if f.n:
+        f.weights = fitted(levels.where(learn), f)
+    _release(docs.sparkSession)
+    return levels, f
 
 
 def _places_of(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -393,7 +555,7 @@ def count(docs: DataFrame, max_sent: int = MAX_FILTER) -> Model:
     """The counts of the ``text`` of all rows of ``docs``; all weights are 0. The filter is sent up to ``max_sent`` bytes."""
     texts = docs.select(F.col("text").cast("string"))
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, math.ceil(chars / 5 / PART_TOKENS))
+    parts = _parts(chars)
     packed = texts.mapInArrow(lambda it: _packed(it, parts), "part int, kind int, hashes binary, counts binary")
     made = packed.repartition(_tasks(parts), "part").sortWithinPartitions("part", "kind").mapInArrow(_segments, "part int, n long, words binary, counts binary, segment binary")
     table = stored(made, "segments")
@@ -435,48 +597,17 @@ def _scores(batches: Iterator[pa.RecordBatch], f: Filter) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([*own, pa.array(np.add.reduceat(term[cell], np.cumsum(n) - n))], ["doc_id", "text_hash", "n_tokens", "n_known", "base_score", "score"])
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text_hash, word, times) of each different token of each text."""
-    for batch in batches:
-        for part, block in K.blocks(batch.column(1)):
-            w, _, n = tokens(block)
-            key = np.asarray(batch.column(0)[part.start : part.stop].to_numpy(zero_copy_only=False))
-            row = np.repeat(np.arange(block.n), n)
-            order = np.lexsort((w, row))
-            w, row = w[order], row[order]
-            first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (row[1:] != row[:-1])]))
-            yield pa.RecordBatch.from_arrays([pa.array(key[row[first]]), pa.array(w[first].view(np.int64)), pa.array(np.diff(np.append(first, len(w))))], ["text_hash", "word", "times"])
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(w, np.int64)), pa.array(np.frombuffer(c, np.int64))], ["word", "c"])
-
-
-def _joined_base(rows: DataFrame, model: Model) -> DataFrame:
-    """(text_hash, n_known, base_score) by a join on the word, for vocabularies past the bound."""
-    bags = rows.select("text_hash", "text").dropDuplicates(["text_hash"]).mapInArrow(_bags, "text_hash long, word long, times long")
-    words = model.table.select("words", "counts").mapInArrow(_unpacked, "word long, c long")
-    denom = math.log10(model.filter.n + model.filter.v + 1)
-    term = F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - denom)
-    known = F.when(F.col("c") > 0, F.col("times")).otherwise(0)
-    return bags.join(words, "word", "left").groupBy("text_hash").agg(F.sum(known).alias("n_known"), F.sum(term).alias("base_score"))
-
-
 def score(docs: DataFrame, model: Model, max_words: int = MAX_WORDS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
-    return _scored(levelled(docs, model, max_words), docs, model, max_words)
+    return scored(levelled(docs, model, max_words), model.filter)
 
 
-def _scored(levels: DataFrame, docs: DataFrame, model: Model, max_words: int = MAX_WORDS) -> DataFrame:
-    light = Filter(None, model.filter.parts, model.filter.n, model.filter.v)
-    light.weights = model.filter.weights
+def scored(levels: DataFrame, f: Filter) -> DataFrame:
+    """The same from the levels."""
+    light = f.light()
     schema = "doc_id long, text_hash long, n_tokens long, n_known long, base_score double, score double"
-    out = levels.mapInArrow(lambda it: _scores(it, light), schema)
-    if model.filter.v > max_words:
-        out = out.drop("n_known", "base_score").join(_joined_base(_rows(docs), model), "text_hash", "left")
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(model.filter.n).cast("long").alias("train_tokens"), "base_score", "score")
+    out = levels.mapInArrow(K.task("lm", lambda it: _scores(it, light)), schema)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(f.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def held_out() -> Column:
@@ -485,8 +616,5 @@ def held_out() -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = count(docs.where(~held_out()))
-    levels = stored(levelled(docs, model), "levels")
-    model.filter.weights = fitted(levels.where(~held_out()), model.filter)
-    got = _scored(levels, docs, model)
+    got = scored(*learned(docs, ~held_out()))
     return got.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
