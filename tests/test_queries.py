@@ -103,6 +103,13 @@ def test_analysis_is_resumed(spark, tmp_path):
     assert trfs.where("side = 'mono'").count() == 128 and trfs.where("side = 'left' and w_mean is null").count() == 2
 
 
+def test_grid_has_few_tasks(spark):
+    grid = series.param_grid(spark, a=[1, 2, 3], b=["x", "y"], c=[0.5, 1.5], d=["p"])
+    assert grid.rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, grid.collect())) == [(a, b, c, "p") for a in (1, 2, 3) for b in "xy" for c in (0.5, 1.5)]
+    assert grid.dtypes == [("a", "bigint"), ("b", "string"), ("c", "double"), ("d", "string")]
+
+
 def test_dimensions(spark):
     with pytest.raises(ValueError):
         analysis.select_channels(analysis.channels(spark), ["Cz", "nowhere"])

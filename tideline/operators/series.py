@@ -18,11 +18,13 @@ def _over(keys: list[str], order: str | None = None):
 
 
 def param_grid(spark: SparkSession, **dims: list) -> DataFrame:
-    """The cross product of small dimensions, a column for each."""
+    """The cross product of small dimensions, a column for each.
+
+    A cross join has a task for each pair of its sides' partitions, so a dimension is one partition."""
     out = None
     for name, values in dims.items():
-        one = spark.createDataFrame([(v,) for v in values], [name])
-        out = one if out is None else out.crossJoin(one)
+        one = spark.createDataFrame([(v,) for v in values], [name]).coalesce(1)
+        out = one if out is None else out.crossJoin(F.broadcast(one))
     return out
 
 
