@@ -210,22 +210,51 @@ def leaf_order(data: np.ndarray) -> list[int]:
     return keep[leaves[2 * n - 2]].tolist()
 
 
+def edges(x: np.ndarray) -> tuple[int, float, int, float]:
+    """Length of the run of equal values that a part begins with and the value after it, length of
+    the run that it ends with and the value before it; NaN where the part has none, NaNs aren't equal."""
+    s = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    one = len(s) == 1
+    return (len(x), np.nan, len(x), np.nan) if one else (int(s[1]), float(x[s[1]]), len(x) - int(s[-1]), float(x[s[-1] - 1]))
+
+
+def crests(x: np.ndarray, least: float, first: int, start: int, before: float, end: int, after: float, flat: bool = True) -> np.ndarray:
+    """Places in a part of a series of its local maxima of at least ``least``; a flat top counts at its
+    middle, or not at all. ``first`` is the part's place in the series, ``start`` that of its first run
+    of equal values and ``before`` the value there; ``end`` and ``after`` are those of its last run."""
+    s = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    top, far, to = x[s], s + first, np.r_[s[1:], len(x)] - 1 + first
+    far[0], to[-1] = start, end
+    middle = (far + to) // 2 - first
+    found = (top > np.r_[before, top[:-1]]) & (top > np.r_[top[1:], after]) & (top >= least) & (middle >= 0) & (middle < len(x))
+    return middle[found & (flat | (far == to))]
+
+
+def thinned(at: np.ndarray, x: np.ndarray, least_gap: int, lo: float = -np.inf, hi: float = np.inf, stays: np.ndarray | None = None) -> np.ndarray:
+    """1 for a peak that stays, -1 for one nearer than ``least_gap`` to a higher one that stays (on ties,
+    an earlier one), 0 where that hangs on peaks outside [lo, hi). ``at`` ascends; ``stays``: known to stay."""
+    far = (at - lo >= least_gap) & (hi - at >= least_gap)
+    sure = np.zeros(len(at), bool) if stays is None else stays
+    state, hangs, sure, places = [0] * len(at), (~far).tolist(), sure.tolist(), at.tolist()
+    for j in np.lexsort((at, -x)).tolist():
+        if state[j]:
+            continue
+        state[j] = int(sure[j] or not hangs[j])
+        for step in (-1, 1):
+            k = j + step
+            while 0 <= k < len(places) and abs(places[k] - places[j]) < least_gap:
+                if state[j]:
+                    state[k] = -1
+                else:
+                    hangs[k] = True
+                k += step
+    return np.array(state, int)
+
+
 def peaks(x: np.ndarray, least_gap: int, share: float = 0.1) -> np.ndarray:
     """Local maxima of at least ``share`` of the maximum; of two nearer than ``least_gap`` the
     higher stays, on ties the earlier. A flat top counts at its middle."""
-    n, out, i = len(x), [], 1
-    while i < n - 1:
-        if x[i] > x[i - 1]:
-            j = i
-            while j + 1 < n and x[j + 1] == x[i]:
-                j += 1
-            if j + 1 < n and x[j + 1] < x[i]:
-                out.append((i + j) // 2)
-            i = j
-        i += 1
-    found = np.array([i for i in out if x[i] >= share * x.max()], int)
-    keep = []
-    for i in sorted(found, key=lambda i: (-x[i], i)):
-        if all(abs(i - j) >= least_gap for j in keep):
-            keep.append(i)
-    return np.array(sorted(keep), int)
+    if not len(x):
+        return np.array([], int)
+    at = crests(x, share * x.max(), 0, 0, np.nan, len(x) - 1, np.nan)
+    return at[thinned(at, x[at], least_gap) > 0]

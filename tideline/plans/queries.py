@@ -264,7 +264,7 @@ def sem_curve(spark, d):
 select t, round(gfp, 6) as gfp from w where gfp > b and gfp > a and gfp >= 0.1 * top""")
 def gfp_maxima(spark, d):
     g = R.field_power(channels(spark, d), ["t"], "y").withColumn("series", F.lit(0))
-    return R.find_peaks(g, ["series"], "gfp", gap_s=0.0).select("t", _r("gfp").alias("gfp"))
+    return R.find_peaks(g, ["series"], "gfp", gap_s=0.0, flat=False).select("t", _r("gfp").alias("gfp"))
 
 
 @_query()
