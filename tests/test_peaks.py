@@ -1,5 +1,7 @@
 """Peaks of series that are cut in parts."""
 
+import time
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -13,12 +15,12 @@ from tideline.plans import queries as Q
 
 def brute(x, gap, share=0.1, flat=True):
     """Places of the peaks, by looking at each value."""
-    found, i = [], 1
+    found, i, top = [], 1, np.fmax.reduce(x)
     while i < len(x) - 1:
         j = i
         while j + 1 < len(x) and x[j + 1] == x[i]:
             j += 1
-        if j + 1 < len(x) and x[i - 1] < x[i] > x[j + 1] and x[i] >= share * np.fmax.reduce(x) and (flat or i == j):
+        if j + 1 < len(x) and x[i - 1] < x[i] > x[j + 1] and x[i] >= share * top and (flat or i == j):
             found.append((i + j) // 2)
         i = j + 1
     stays = np.zeros(len(x), bool)
@@ -72,3 +74,45 @@ def test_maxima_query_is_its_sql_with_runs_and_nulls(spark, tmp_path):
     want = sorted(con.execute(Q.ORACLE["gfp_maxima"]).fetchall())
     assert len(want) > 500
     assert sorted((r.t, r.gfp) for r in Q.gfp_maxima(spark, str(tmp_path)).collect()) == want
+
+
+def test_thinning_of_a_long_series_is_not_quadratic():
+    x, began = zigzag(200_000), time.process_time()
+    found = trf.peaks(x, 3).tolist()
+    assert time.process_time() - began < 20
+    assert found == brute(x, 3)
+
+
+@pytest.mark.parametrize("gap", [3, 10])
+def test_thinning_settles_what_a_part_can_tell(gap):
+    for seed in range(40):
+        x = series_of(seed, 300)
+        at = np.array(brute(x, 1, share=-9.0), int)
+        whole = set(brute(x, gap, share=-9.0))
+        inner = at[(at >= 100) & (at < 220)]
+        for i, s in zip(inner.tolist(), trf.thinned(inner, x[inner], gap, 100, 220).tolist(), strict=True):
+            assert s == 0 or (s > 0) == (i in whole)
+
+
+def test_peaks_of_many_series(spark):
+    far = np.r_[series_of(1, 9000), np.full(9000, 4.0), series_of(3, 3000)]
+    nothing = np.r_[series_of(2, 50), np.nan]
+    every = {"zigzag": zigzag(30_000), "back": zigzag(30_000)[::-1].copy(), "far": far, "short": series_of(4, 90), "two": np.array([1.0, 2.0]), None: series_of(6, 700), "nan": nothing}
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"k": k, "t": np.arange(len(x)), "v": x}) for k, x in every.items()])).withColumn("v", F.when(F.col("k").isNull() | (F.col("k") != "nan") | ~F.isnan("v"), F.col("v")).otherwise(float("nan")))
+    got = {k: [] for k in every}
+    for r in reduce.find_peaks(df.repartition(5, "t"), ["k"], "v").collect():
+        got[r.k].append(r.t)
+        assert r.v == every[r.k][r.t]
+    assert {k: sorted(v) for k, v in got.items()} == {k: brute(x, 3) if k != "nan" else [] for k, x in every.items()}
+
+
+def test_chains_over_many_parts_are_settled_in_rounds(spark):
+    x = np.r_[zigzag(900), series_of(1, 300), zigzag(700)[::-1]]
+    at = brute(x, 1)
+    tops = spark.createDataFrame(pd.DataFrame({"k": 0, "v": x[at], "_i": at, "_open": True}))
+    for rounds in range(1, 30):
+        tops = reduce.stored(reduce._thin(tops, ["k"], "v", 3, 128, "k long, v double, _i long, _open boolean"), "peaks")
+        if tops.where("_open").isEmpty():
+            break
+    assert rounds > 2
+    assert sorted(r._i for r in tops.collect()) == brute(x, 3)
